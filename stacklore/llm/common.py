@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +55,15 @@ def utf8(column: str = "text") -> Column:
 def whole_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts together."""
     return docs.select(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared checkpoint folder and read it back."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(
+            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stacklore-checkpoint-")
+        )
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
