@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, multiset_hash, quality, simhash, topk
+from . import langid, multiset_hash, quality, simhash, suffix_dedup, topk
 from .common import in_fold, outside_fold, table
 
 
@@ -26,6 +26,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -48,19 +52,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP5_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
   FROM embeddings
   WHERE embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         CAST(list_sum(list_transform(list_zip(q.x, c.x), p -> p[1] * p[2])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(length(hex(encode(coalesce(text, '')))) / 2 AS BIGINT) AS n
+  FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM d, unnest(range(n - 49)) AS t(p) WHERE n >= 50),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT w.doc_id, w.p FROM w JOIN f ON w.s = f.s WHERE f.first < w.doc_id),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM m),
+i AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM g),
+r AS (SELECT doc_id, span, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY doc_id, span),
+k AS (SELECT doc_id, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS c, a FROM r),
+u AS (SELECT k.doc_id,
+        string_agg(CASE WHEN k.c IS NULL THEN substr(d.h, 2 * k.b + 1) ELSE substr(d.h, 2 * k.b + 1, 2 * (k.c - k.b)) END,
+                   '' ORDER BY k.a) AS tail,
+        min(k.a) AS a, sum(k.b - k.a) AS gone, count(*) AS spans
+      FROM k JOIN d ON k.doc_id = d.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(u.gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(u.spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN u.doc_id IS NULL THEN d.h ELSE substr(d.h, 1, 2 * u.a) || u.tail END)) AS kept_sha256
+FROM d LEFT JOIN u ON d.doc_id = u.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": OP5_SQL}
+    return {"op5_topk": OP5_SQL, "op6_suffix_dedup": OP6_SQL}
