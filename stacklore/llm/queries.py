@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, multiset_hash, quality, simhash, suffix_dedup, topk
+from . import langid, mixing, multiset_hash, quality, simhash, suffix_dedup, topk
 from .common import in_fold, outside_fold, table
 
 
@@ -22,6 +22,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("row").withColumn("probability", F.round("probability", 9))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -88,4 +92,4 @@ FROM d LEFT JOIN u ON d.doc_id = u.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": OP5_SQL, "op6_suffix_dedup": OP6_SQL}
+    return {"op2_mixing": mixing.sql(), "op5_topk": OP5_SQL, "op6_suffix_dedup": OP6_SQL}
