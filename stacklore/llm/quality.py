@@ -167,7 +167,7 @@ def fit(
     sizes = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality")), F.lit(1_000_000))
     rate = [int(1e6 * documents / sizes[k]) + 1 if k in sizes else 0 for k in (0, 1)]
-    drawn = marked.where(draw < F.when(F.col("quality") == 1, rate[1]).otherwise(rate[0]))
+    drawn = marked.where(draw < F.when(F.col("quality") == 1, rate[1]).otherwise(rate[0])).limit(4 * documents)
 
     def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -181,7 +181,7 @@ def fit(
     bound_batches(docs.sparkSession)
     rows = (
         docs.select("doc_id", utf8("text").alias("body"))
-        .join(drawn, "doc_id")
+        .join(F.broadcast(drawn), "doc_id")
         .select("body", "quality")
         .mapInPandas(some, "quality int, chunks array<binary>")
         .limit(4 * documents)
