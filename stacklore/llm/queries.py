@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, multiset_hash, packing, quality, simhash, suffix_dedup, token_counts, topk
+from . import langid, lm, mixing, multiset_hash, packing, quality, simhash, suffix_dedup, token_counts, topk
 from .common import in_fold, outside_fold, table
 
 
@@ -26,6 +26,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("row").withColumn("probability", F.round("probability", 9))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = lm.score(docs, outside_fold("doc_id", 7, 2))
+    return scores.withColumn("held_out", in_fold("doc_id", 7, 2))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
