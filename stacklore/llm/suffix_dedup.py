@@ -8,8 +8,8 @@ only the suffixes at anchors are sorted. The steps, each over blocks of document
 1. Blocks send the 32-bit hashes of their anchors to buckets; a bucket replies with those
    that occur in more than one document. Only these anchors go on (an exact filter: a
    string in two documents has its anchor in both).
-2. A block sorts the suffixes at its remaining anchors (``length`` bytes from the anchor,
-   then the bytes before it, from right to left), keeps one of equal ones, and sends each
+2. A block sorts the suffixes at its remaining anchors (the bytes from the anchor on that
+   its windows take, then those before it, from right to left), keeps one of equal ones, and sends each
    bucket a sorted run, front-coded: the length of the prefix shared with the suffix
    before, and the rest.
 3. A bucket merges its runs with a loser tree. Each head knows how much it shares with the
@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,11 +66,11 @@ def gram_hashes(body: np.ndarray, gram: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def anchors(hashes: np.ndarray, span: int) -> np.ndarray:
-    """Places whose hash is the least of some span hashes in a row (all of them, where equal)."""
+def anchors(hashes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places that are the first least of some span hashes in a row, and the first and last of these windows."""
     n = len(hashes) - span + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     least, width = hashes, 1
     while width < span:  # least of the next width hashes, doubled
         step = min(width, span - width)
@@ -82,7 +83,14 @@ def anchors(hashes: np.ndarray, span: int) -> np.ndarray:
         step = min(width, span - width)
         most = np.maximum(most[:-step], most[step:])
         width += step
-    return np.flatnonzero(hashes == most)
+    at = np.flatnonzero(hashes == most)
+    # an anchor takes over where its smaller hash comes into the window, or where the one before it leaves
+    begin = np.zeros(len(at), np.int64)
+    begin[1:] = np.where(hashes[at[1:]] < hashes[at[:-1]], at[1:] - span + 1, at[:-1] + 1)
+    begin = np.minimum.accumulate(begin[::-1])[::-1]
+    end = np.minimum(np.append(begin[1:], n) - 1, n - 1)
+    some = begin <= end
+    return at[some], begin[some], end[some]
 
 
 class Block:
@@ -96,21 +104,24 @@ class Block:
         self.bodies = [docs["body"].iloc[i] for i in order]
         self.length = length
 
-    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, document and place of every anchor."""
-        hashes, docs, places = [], [], []
+    def found(self) -> tuple[np.ndarray, ...]:
+        """Hash, document and place of every anchor, and how many bytes before and from it its windows take."""
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
         for i, body in enumerate(self.bodies):
             if len(body) >= self.length:
                 h = gram_hashes(np.frombuffer(body, np.uint8), GRAM)
-                at = anchors(h, self.length - GRAM + 1)
-                hashes.append(h[at])
-                docs.append(np.full(len(at), i, np.int32))
-                places.append(at)
-        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64))
-        return tuple(np.concatenate(x) if x else e for x, e in zip((hashes, docs, places), empty, strict=True))
-
-    def surroundings(self, docs: np.ndarray, places: np.ndarray, before: int) -> np.ndarray:
-        """A row for each anchor: length bytes from it, the before bytes before it in reverse, and both lengths."""
+                at, begin, end = anchors(h, self.length - GRAM + 1)
+                found = (h[at], np.full(len(at), i, np.int32), at, at - begin, end - at + self.length)
+                for column, values in zip(out, found, strict=True):
+                    column.append(values)
+        kinds = (np.uint64, np.int32, np.int64, np.int64, np.int64)
+        return tuple(np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds, strict=True))
+
+    def surroundings(self, docs: np.ndarray, places: np.ndarray, back: np.ndarray, ahead: np.ndarray, before: int) -> np.ndarray:
+        """A row for each anchor: the ahead bytes from it, the back bytes before it in reverse, and both numbers.
+
+        Each part is padded with zeros, to length and to before bytes.
+        """
         sizes = np.array([len(x) for x in self.bodies], np.int64)
         gap = self.length
         starts = np.cumsum(sizes + gap) - sizes
@@ -121,12 +132,12 @@ class Block:
         out = np.empty((len(at), self.length + before + 2), np.uint8)
         view = np.lib.stride_tricks.sliding_window_view(whole, self.length)
         out[:, : self.length] = view[at]
-        back = np.minimum(places, before)
+        out[:, : self.length][np.arange(self.length)[None] >= ahead[:, None]] = 0
         if before:
             left = np.lib.stride_tricks.sliding_window_view(whole, before)
             out[:, self.length : self.length + before] = left[at - before][:, ::-1]
             out[:, self.length : self.length + before][np.arange(before)[None] >= back[:, None]] = 0
-        out[:, -2] = np.minimum(sizes[docs] - places, self.length)
+        out[:, -2] = ahead
         out[:, -1] = back
         return out
 
@@ -248,6 +259,14 @@ def judge(rows: np.ndarray, common: np.ndarray, least: np.ndarray, length: int,
     return verdict
 
 
+def _squeeze(run: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(run)
+
+
+def _expand(run: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(run)
+
+
 def _pack(*arrays: np.ndarray) -> list[bytes]:
     return [np.ascontiguousarray(x).tobytes() for x in arrays]
 
@@ -256,8 +275,8 @@ def dedup(
     docs: DataFrame,
     length: int = 50,
     hot: int = 100_000,
-    block_bytes: int = 8_000_000,
-    bucket_bytes: int = 16_000_000,
+    block_bytes: int = 4_000_000,
+    bucket_bytes: int = 8_000_000,
     carry: str | None = None,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of docs, and column carry if named.
@@ -279,7 +298,7 @@ def dedup(
     rows = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("body"), carried.alias("carry"), block.alias("block"))
 
     def send_hashes(key: tuple, docs_here: pd.DataFrame) -> pd.DataFrame:
-        hashes, doc, _ = (part := Block(docs_here, length)).found()
+        hashes, doc, *_ = (part := Block(docs_here, length)).found()
         owner = part.ids[doc]
         order = np.lexsort((owner, hashes))
         hashes, owner = hashes[order], owner[order]
@@ -312,7 +331,7 @@ def dedup(
         if not len(docs_here) or not len(replies):
             return pd.DataFrame([], columns=columns)
         part = Block(docs_here, length)
-        hashes, doc, place = part.found()
+        hashes, doc, place, back, ahead = part.found()
         wanted = [np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(b) << np.uint64(32) for b, x in zip(replies["bucket"], replies["hashes"], strict=True)]
         wanted, many = np.concatenate(wanted), np.concatenate([np.frombuffer(x, bool) for x in replies["hot"]])
         order = np.argsort(wanted)
@@ -320,19 +339,15 @@ def dedup(
         short = hashes >> shift << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
         at = np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)
         hit = wanted[at] == short
-        at, hashes, doc, place = at[hit], hashes[hit], doc[hit], place[hit]
+        at, hashes, doc, place, back, ahead = (x[hit] for x in (at, hashes, doc, place, back, ahead))
         to = (hashes >> shift).astype(np.int64)
-        around = part.surroundings(doc, place, before)
+        around = part.surroundings(doc, place, back, ahead, before)
         if (busy := many[at]).any():
-            sizes = np.array([len(x) for x in part.bodies], np.int64)
             more = [(around[~busy], to[~busy], doc[~busy], place[~busy])]
             for o in range(before + 1):
-                start = place[busy] - o
-                fits = (start >= 0) & (start + length <= sizes[doc[busy]])
-                own, start = doc[busy][fits], start[fits]
-                windows = part.surroundings(own, start, before)
-                windows[:, length : length + before] = 0
-                windows[:, -1] = 0
+                fits = (back[busy] >= o) & (ahead[busy] >= length - o)
+                own, start = doc[busy][fits], place[busy][fits] - o
+                windows = part.surroundings(own, start, np.zeros_like(start), np.full_like(start, length), before)
                 mixed = np.array([int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "big") for x in windows], np.uint64)
                 more.append((windows, (mixed >> shift).astype(np.int64), own, start))
             around, to, doc, place = (np.concatenate(x) for x in zip(*more, strict=True))
@@ -344,11 +359,11 @@ def dedup(
             np.minimum.at(least, which, part.ids[doc[here]])
             order = np.argsort(which, kind="stable")
             shared, rest = front_code(distinct.view(np.uint8).reshape(-1, width))
-            out.append((int(key[0]), int(b), shared, rest, *_pack(least, np.bincount(which).astype(np.uint32), doc[here][order].astype(np.uint32), place[here][order].astype(np.uint32))))
+            out.append((int(key[0]), int(b), _squeeze(shared), _squeeze(rest), *_pack(least, np.bincount(which).astype(np.uint32), doc[here][order].astype(np.uint32), place[here][order].astype(np.uint32))))
         return pd.DataFrame(out, columns=columns)
 
     def merge(key: tuple, runs: pd.DataFrame) -> pd.DataFrame:
-        distinct, common, places = merge_runs(list(zip(runs["shared"], runs["rest"], strict=True)), width)
+        distinct, common, places = merge_runs([(_expand(a), _expand(b)) for a, b in zip(runs["shared"], runs["rest"], strict=True)], width)
         lowest = np.full(len(distinct), _NO_ID)
         own = [np.frombuffer(x, np.int64) for x in runs["least"]]
         places = [np.array(x, np.int64) for x in places]
