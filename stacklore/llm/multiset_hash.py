@@ -125,21 +125,22 @@ def fingerprint_edits(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     has no next document: nothing replaces its second half, and near_next is 0.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    rows = rows.withColumn("hash", F.xxhash64("body"))
+    # a struct is never null itself, so both joins below read one and the same shuffle of the texts
+    rows = rows.select(F.struct("doc_id").alias("key"), "body", F.xxhash64("body").alias("hash"))
     after = cut(following(docs, id_column))
     taken = F.expr("char_length(body) div 2").cast("int")
     need = (
-        rows.groupBy("doc_id").agg(F.max(taken).alias("need")).join(after, "doc_id")
-        .select(F.col("doc_id").alias("prev_id"), F.col("next_id").alias("doc_id"), "need")
+        rows.groupBy(F.col("key.doc_id").alias("doc_id")).agg(F.max(taken).alias("need")).join(after, "doc_id")
+        .select(F.struct("doc_id").alias("prev"), F.struct(F.col("next_id").alias("doc_id")).alias("key"), "need")
     )
     gift = (
-        rows.join(need, "doc_id")
-        .groupBy(F.col("prev_id").alias("doc_id"))
+        rows.join(need, "key")
+        .groupBy(F.col("prev").alias("key"))
         .agg(F.min(F.struct("hash", F.expr("left(body, need)").alias("gift"))).alias("g"))
-        .select("doc_id", "g.gift")
+        .select("key", "g.gift")
     )
-    edited = rows.join(gift, "doc_id", "left").select(
-        "doc_id",
+    edited = rows.join(gift, "key", "left").select(
+        "key.doc_id",
         "hash",
         F.char_length("body").cast("long").alias("n_chars"),
         "body",
