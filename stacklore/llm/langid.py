@@ -13,9 +13,10 @@ from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bound_batches, utf8
 
@@ -133,8 +134,8 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 400, languages: int
     return train([bytes(r["body"]) for r in rows], [r["lang"] for r in rows])
 
 
-def identify(docs: DataFrame, model: Model, gap: float = 0.15) -> DataFrame:
-    """(doc_id, text_known, lang_pred, score, ambiguous) for every row of docs.
+def attach(docs: DataFrame, model: Model, gap: float = 0.15) -> DataFrame:
+    """row (all of docs, as a struct), lang_pred, score and ambiguous for every row of docs.
 
     lang_pred is ``und`` with score 0 for a null text, one without any letter, or when no
     language was learned; score is the decoder's probability of the chosen codeword.
@@ -144,23 +145,30 @@ def identify(docs: DataFrame, model: Model, gap: float = 0.15) -> DataFrame:
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        names = np.array([*known.languages, UNKNOWN], object)
         for batch in batches:
-            which, score, ahead = known.predict(list(batch["body"]))
-            letters = batch["letters"].to_numpy(bool) & bool(known.languages)
-            names = np.array([*known.languages, UNKNOWN], object)
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "lang_pred": names[np.where(letters, which, len(names) - 1)],
-                    "score": np.where(letters, np.clip(score, 0, 1), 0.0),
-                    "ambiguous": letters & (ahead < gap),
-                }
+            row, letters = batch.column("row"), batch.column("letters").to_numpy(zero_copy_only=False)
+            texts = [x or b"" for x in row.field("text").cast(pa.binary()).to_pylist()]
+            which, score, ahead = known.predict(texts)
+            letters = letters & bool(known.languages)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    row,
+                    pa.array(names[np.where(letters, which, len(names) - 1)], pa.string()),
+                    pa.array(np.where(letters, np.clip(score, 0, 1), 0.0), pa.float64()),
+                    pa.array(letters & (ahead < gap), pa.bool_()),
+                ],
+                ["row", "lang_pred", "score", "ambiguous"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    return docs.select("doc_id", utf8("text").alias("body"), letters).mapInPandas(
-        of, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean"
-    )
+    rows = docs.select(F.struct("*").alias("row"), letters)
+    kind = T.StructType([rows.schema["row"], *T._parse_datatype_string("lang_pred string, score double, ambiguous boolean")])
+    return rows.mapInArrow(of, kind)
+
+
+def identify(docs: DataFrame, model: Model, gap: float = 0.15) -> DataFrame:
+    """(doc_id, lang_pred, score, ambiguous) for every row of docs; see attach."""
+    return attach(docs.select("doc_id", "text"), model, gap).select("row.doc_id", "lang_pred", "score", "ambiguous")

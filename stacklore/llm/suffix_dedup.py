@@ -278,12 +278,14 @@ def dedup(
     block_bytes: int = 4_000_000,
     bucket_bytes: int = 8_000_000,
     carry: str | None = None,
+    as_text: bool = False,
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of docs, and column carry if named.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of docs, and string column carry if named.
 
     Bytes covered by a string of length bytes that also starts in a document with a
     smaller id are removed; overlaps count, and strings are judged on the input. kept
-    holds the remaining bytes. Null and empty texts, and those shorter than length, keep
+    holds the remaining bytes, or with as_text the text they make without characters that
+    were cut in two. Null and empty texts, and those shorter than length, keep
     all they have. Rows with an equal id do not remove from each other; a null id counts
     as larger than all others. Very long texts are one row of a block, like any other.
     """
@@ -405,7 +407,7 @@ def dedup(
             spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and bool(gone[0])))
             kept = np.frombuffer(body, np.uint8)[~gone].tobytes() if n else body
             row = docs_here.iloc[i]
-            out.append((row["doc_id"], len(body), n, spans, hashlib.sha256(kept).hexdigest(), kept, row["carry"]))
+            out.append((row["doc_id"], len(body), n, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept, row["carry"]))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "carry"])
 
     replies = (
@@ -421,6 +423,6 @@ def dedup(
     )
     out = rows.groupBy("block").cogroup(verdicts.groupBy("block")).applyInPandas(
         remove,
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, carry string",
+        f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}, carry string",
     )
     return out.withColumnRenamed("carry", carry) if carry else out.drop("carry")
