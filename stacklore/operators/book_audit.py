@@ -64,9 +64,8 @@ def audit(records: DataFrame, whitelist: tuple[str, ...] = (), volume_suffixes:
         if weigh_prior:
             tests.append((present & prior, "source_prior_weak", 1))
         tests.append((present & c("doubtful"), "doubtful_text_layer", 1))
-        grade = start
-        for test, _, notches in tests:
-            grade = F.when(test, F.greatest(grade - notches, F.lit(0))).otherwise(grade)
+        lost = sum((F.when(test, notches).otherwise(0) for test, _, notches in tests if notches), F.lit(0))
+        grade = F.greatest(start - lost, F.lit(0))
         if lift is not None:
             grade = F.when(lift, F.least(grade + 1, F.lit(3))).otherwise(grade)
         named = F.element_at(F.array(*map(F.lit, GRADES)), (grade + 1).cast("int"))

@@ -135,7 +135,7 @@ def library_stats(spark, sf_dir):
 
 @query(f"""
 WITH {_AUDIT}
-SELECT run_id, count(*) FILTER (WHERE kind = 'book') AS n_books, count(*) FILTER (WHERE kind = 'paper') AS n_papers, epoch_ms(max(ts)) - epoch_ms(min(ts)) AS wall_ms,
+SELECT run_id, count(*) FILTER (WHERE kind = 'book') AS n_books, count(*) FILTER (WHERE kind = 'paper') AS n_papers, epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 AS wall_ms,
   count(*) FILTER (WHERE verdict = 'clean') AS clean, count(*) FILTER (WHERE verdict = 'needs_work') AS needs_work,
   nullif(count(*) FILTER (WHERE f_click), 0) AS click, nullif(count(*) FILTER (WHERE f_none), 0) AS none FROM audit GROUP BY run_id""")
 def run_rollup(spark, sf_dir):
