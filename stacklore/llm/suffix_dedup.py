@@ -276,7 +276,7 @@ def dedup(
     length: int = 50,
     hot: int = 100_000,
     block_bytes: int = 4_000_000,
-    bucket_bytes: int = 8_000_000,
+    bucket_bytes: int = 4_000_000,
     carry: str | None = None,
     as_text: bool = False,
 ) -> DataFrame:
