@@ -165,7 +165,7 @@ def attach(docs: DataFrame, model: Model, gap: float = 0.15) -> DataFrame:
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
     rows = docs.select(F.struct("*").alias("row"), letters)
-    kind = T.StructType([rows.schema["row"], *T._parse_datatype_string("lang_pred string, score double, ambiguous boolean")])
+    kind = T.StructType([rows.schema["row"]]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
     return rows.mapInArrow(of, kind)
 
 

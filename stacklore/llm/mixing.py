@@ -85,10 +85,12 @@ def rake(cells: DataFrame, plan: Plan, wanted: dict[str, DataFrame] | None = Non
         F.when(total > 0, F.col("w") * (F.coalesce(f"to_{margin}", F.lit(0.0)) / total)).otherwise(0.0)
     )
     if now.count() <= small:
-        now = now.coalesce(1)
-        for margin in MARGINS * plan.rounds:
-            now = now.withColumn("w", scaled(margin, F.sum("w").over(Window.partitionBy(margin))))
-        return cut(now)
+        for at in range(0, plan.rounds, 10):  # a longer chain of windows is more than a plan can hold
+            now = now.coalesce(1)
+            for margin in MARGINS * min(10, plan.rounds - at):
+                now = now.withColumn("w", scaled(margin, F.sum("w").over(Window.partitionBy(margin))))
+            now = cut(now)
+        return now
     for margin in MARGINS * plan.rounds:
         sums = now.groupBy(margin).agg(F.sum("w").alias("sum"))
         now = cut(now.join(sums, margin).withColumn("w", scaled(margin, F.col("sum"))).drop("sum"))
