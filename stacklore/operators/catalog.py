@@ -198,11 +198,19 @@ def run_id(command: Column, started: Column, root: Column) -> Column:
 
 
 def register(known: DataFrame, sources: DataFrame) -> DataFrame:
-    """known and the sources whose hash it lacks, each once, with the next free ids in order of hash."""
-    new = sources.join(known, "source_sha256", "left_anti").dropDuplicates(["source_sha256"])
-    top = known.agg(F.coalesce(F.max("intake_id"), F.lit(0)).alias("top"))
-    numbered = new.withColumn("_n", F.row_number().over(Window.orderBy("source_sha256"))).crossJoin(F.broadcast(top))
-    return known.unionByName(numbered.withColumn("intake_id", F.col("top") + F.col("_n")).select(*known.columns), allowMissingColumns=True)
+    """known and the sources whose hash it lacks, each once, with the next free ids in order of hash.
+
+    Ids are counted within each of the 4,096 leading parts of the hashes, from the number
+    of sources in the parts before: no task sees all of them.
+    """
+    new = sources.join(known, "source_sha256", "left_anti").dropDuplicates(["source_sha256"]).withColumn("_part", F.substring("source_sha256", 1, 3))
+    parts = new.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    top = known.agg(F.coalesce(F.max("intake_id"), F.lit(0)).alias("_top"))
+    starts = parts.select("_part", before.alias("_before")).crossJoin(F.broadcast(top))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("source_sha256"))
+    numbered = new.join(F.broadcast(starts), "_part").withColumn("intake_id", F.col("_top") + F.col("_before") + nth)
+    return known.unionByName(numbered.select(*known.columns), allowMissingColumns=True)
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,24 +13,30 @@ def first_of_equal(rows: DataFrame, identity: Column, key: str = "doc_id") -> Da
     return named.join(groups, "content_id")
 
 
+def _gram(n: int):
+    return lambda i: F.xxhash64(F.slice("d", i, n))
+
+
 def passages_in(docs: DataFrame, passages: DataFrame, words: int = 8, broadcast_rows: int = 100_000) -> DataFrame:
     """(doc_id, item_id) of documents that hold a passage word for word.
 
-    Documents and passages meet on the hash of a passage's first words, and what meets is
-    compared in full. Passages of fewer words than that meet on as many as they have. The
-    passages are broadcast while they are few; beyond that both sides are shuffled.
+    Documents and passages meet on the hash of a passage's first words (of all, if it has
+    fewer), hashes alone are exploded and joined, and only the pairs that meet are compared
+    in full. The passages are broadcast while they are few; beyond that both sides are
+    shuffled.
     """
     tokens = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    spaced = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
     found = passages.select("item_id", tokens(F.col("text")).alias("p")).where("size(p) > 0")
     sizes = [r[0] for r in found.select(F.least(F.size("p"), F.lit(words)).alias("n")).distinct().collect()]
     small = passages.count() <= broadcast_rows
-    out = None
+    met = docs.select("doc_id", F.lit(None).cast(passages.schema["item_id"].dataType).alias("item_id")).where("false")
     own = docs.select("doc_id", tokens(F.col("text")).alias("d"))
     for n in sizes:
-        heads = found.where(F.least(F.size("p"), F.lit(words)) == n)
-        heads = heads.select("item_id", "p", F.xxhash64(F.slice("p", 1, n)).alias("head"))
-        at = own.where(F.size("d") >= n).select("doc_id", "d", F.explode(F.sequence(F.lit(1), F.size("d") - (n - 1))).alias("i"))
-        grams = at.select("doc_id", "d", "i", F.xxhash64(F.slice("d", F.col("i"), n)).alias("head"))
-        met = grams.join(F.broadcast(heads) if small else heads, "head").where(F.slice("d", F.col("i"), F.size("p")) == F.col("p"))
-        out = met.select("doc_id", "item_id") if out is None else out.unionByName(met.select("doc_id", "item_id"))
-    return out.distinct() if out is not None else docs.select("doc_id", F.lit(None).cast("long").alias("item_id")).where("false")
+        heads = found.where(F.least(F.size("p"), F.lit(words)) == n).select("item_id", F.xxhash64(F.slice("p", 1, n)).alias("head"))
+        grams = F.transform(F.sequence(F.lit(1), F.size("d") - (n - 1)), _gram(n))
+        at = own.where(F.size("d") >= n).select("doc_id", F.explode(F.array_distinct(grams)).alias("head"))
+        met = met.unionByName(at.join(F.broadcast(heads) if small else heads, "head").select("doc_id", "item_id"))
+    whole = found.select("item_id", spaced(F.col("p")).alias("passage"))
+    pairs = met.distinct().join(F.broadcast(whole) if small else whole, "item_id")
+    return pairs.join(docs.select("doc_id", spaced(tokens(F.col("text"))).alias("body")), "doc_id").where(F.contains("body", F.col("passage"))).select("doc_id", "item_id").distinct()
