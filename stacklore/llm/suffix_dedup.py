@@ -16,7 +16,8 @@ only the suffixes at anchors are sorted. The steps, each over blocks of document
    last suffix that left the tree, so a match compares these lengths first, and bytes only
    beyond them; the run's own front coding gives the length for the next head.
    Neighbours that share their gram are compared window by window for the smallest id.
-4. Verdicts return to the blocks, which remove bytes.
+4. Verdicts on the rows of a run return to the block that sent it. It finds its surroundings
+   again, so where they occur in its documents never leaves it, and removes the bytes.
 
 An anchor found in very many blocks could gather any number of different surroundings in
 one bucket. Beyond ``hot`` blocks its windows are dealt out one by one, each by its own hash.
@@ -25,6 +26,7 @@ one bucket. Beyond ``hot`` blocks its windows are dealt out one by one, each by
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -310,9 +312,9 @@ def dedup(
         third[2:] = hashes[2:] == hashes[:-2]
         hashes = hashes[~third]
         to = (hashes >> shift).astype(np.int64)
-        cuts = np.searchsorted(to, np.arange(buckets + 1))
         low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        out = [(int(key[0]), b, np.sort(low[cuts[b] : cuts[b + 1]]).tobytes()) for b in range(buckets) if cuts[b] < cuts[b + 1]]
+        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]) if len(to) else np.zeros(1, int)
+        out = [(int(key[0]), int(to[a]), np.sort(low[a:b]).tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pd.DataFrame(out, columns=["block", "bucket", "hashes"])
 
     def reply(key: tuple, sent: pd.DataFrame) -> pd.DataFrame:
@@ -328,11 +330,11 @@ def dedup(
                 out.append((int(to), int(key[0]), own[hit].tobytes(), many[at[hit]].tobytes()))
         return pd.DataFrame(out, columns=["block", "bucket", "hashes", "hot"])
 
-    def send_runs(key: tuple, docs_here: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        columns = ["block", "bucket", "shared", "rest", "least", "counts", "docs", "places"]
-        if not len(docs_here) or not len(replies):
-            return pd.DataFrame([], columns=columns)
-        part = Block(docs_here, length)
+    def meetings(part: Block, replies: pd.DataFrame) -> Iterator[tuple]:
+        """For each bucket in which this block meets others: the bucket, distinct surroundings in order and the least
+        id that holds each, and of every occurrence which surroundings it has, its document and its place."""
+        if not len(replies):
+            return
         hashes, doc, place, back, ahead = part.found()
         wanted = [np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(b) << np.uint64(32) for b, x in zip(replies["bucket"], replies["hashes"], strict=True)]
         wanted, many = np.concatenate(wanted), np.concatenate([np.frombuffer(x, bool) for x in replies["hot"]])
@@ -353,16 +355,22 @@ def dedup(
                 mixed = np.array([int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "big") for x in windows], np.uint64)
                 more.append((windows, (mixed >> shift).astype(np.int64), own, start))
             around, to, doc, place = (np.concatenate(x) for x in zip(*more, strict=True))
-        out = []
-        for b in np.unique(to):
-            here = np.flatnonzero(to == b)
+        order = np.argsort(to, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0, True]) if len(to) else np.zeros(1, int)
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            here = order[first:last]
             distinct, which = np.unique(np.ascontiguousarray(around[here]).view(f"V{width}").ravel(), return_inverse=True)
             least = np.full(len(distinct), _NO_ID)
             np.minimum.at(least, which, part.ids[doc[here]])
-            order = np.argsort(which, kind="stable")
-            shared, rest = front_code(distinct.view(np.uint8).reshape(-1, width))
-            out.append((int(key[0]), int(b), _squeeze(shared), _squeeze(rest), *_pack(least, np.bincount(which).astype(np.uint32), doc[here][order].astype(np.uint32), place[here][order].astype(np.uint32))))
-        return pd.DataFrame(out, columns=columns)
+            yield int(to[here[0]]), distinct.view(np.uint8).reshape(-1, width), least, which, doc[here], place[here]
+
+    def send_runs(key: tuple, docs_here: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(docs_here):
+            for bucket, distinct, least, *_ in meetings(Block(docs_here, length), replies):
+                shared, rest = front_code(distinct)
+                out.append((int(key[0]), bucket, _squeeze(shared), _squeeze(rest), least.tobytes()))
+        return pd.DataFrame(out, columns=["block", "bucket", "shared", "rest", "least"])
 
     def merge(key: tuple, runs: pd.DataFrame) -> pd.DataFrame:
         distinct, common, places = merge_runs([(_expand(a), _expand(b)) for a, b in zip(runs["shared"], runs["rest"], strict=True)], width)
@@ -374,29 +382,31 @@ def dedup(
         matrix = np.frombuffer(b"".join(distinct), np.uint8).reshape(-1, width)
         bits = judge(matrix, np.array(common, np.int64), lowest, length, before)
         out = []
-        for at, ids, to, counts, docs_of, places_of in zip(places, own, runs["block"], runs["counts"], runs["docs"], runs["places"], strict=True):
-            counts = np.frombuffer(counts, np.uint32)
-            matters = (bits[at] > 0) | (lowest[at] < ids) | (counts > 1)
-            if not matters.any():
-                continue
-            each = np.repeat(matters, counts)
-            again = lambda x, m=matters, c=counts: np.repeat(x[m], c[m])
-            out.append((int(to), *_pack(np.frombuffer(docs_of, np.uint32)[each], np.frombuffer(places_of, np.uint32)[each], again(lowest[at]), again(bits[at].astype(np.uint32)), again(matrix[at, -2]), again(matrix[at, -1]))))
-        return pd.DataFrame(out, columns=["block", "docs", "places", "lowest", "bits", "ahead", "back"])
-
-    def remove(key: tuple, docs_here: pd.DataFrame, verdicts: pd.DataFrame) -> pd.DataFrame:
+        for at, ids, to in zip(places, own, runs["block"], strict=True):
+            # what the block knows without being told is not sent
+            nth = np.flatnonzero((bits[at] > 0) | (lowest[at] < ids))
+            if len(nth):
+                out.append((int(to), int(key[0]), *_pack(nth.astype(np.uint32), lowest[at[nth]], bits[at[nth]].astype(np.uint32))))
+        return pd.DataFrame(out, columns=["block", "bucket", "nth", "lowest", "bits"])
+
+    def remove(key: tuple, docs_here: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         part = Block(docs_here, length)
         sizes = np.array([len(x) for x in part.bodies], np.int64)
         starts = np.cumsum(sizes + 1) - sizes - 1
         edge = np.zeros(int((sizes + 1).sum()) + 1, np.int32)
-        for _, v in verdicts.iterrows():
-            doc = np.frombuffer(v["docs"], np.uint32).astype(np.int64)
-            at = starts[doc] + np.frombuffer(v["places"], np.uint32)
-            later = part.ids[doc] > np.frombuffer(v["lowest"], np.int64)
-            bits = np.frombuffer(v["bits"], np.uint32)
-            ahead, back = np.frombuffer(v["ahead"], np.uint8).astype(int), np.frombuffer(v["back"], np.uint8).astype(int)
+        verdicts = {v["bucket"]: v for _, v in told[told["nth"].notna()].iterrows()}
+        for bucket, distinct, lowest, which, doc, place in meetings(part, told[told["hashes"].notna()]):
+            bits = np.zeros(len(distinct), np.uint32)
+            if (v := verdicts.get(bucket)) is not None:
+                nth = np.frombuffer(v["nth"], np.uint32)
+                lowest[nth], bits[nth] = np.frombuffer(v["lowest"], np.int64), np.frombuffer(v["bits"], np.uint32)
+            later = part.ids[doc] > lowest[which]
+            some = np.flatnonzero(later | (bits[which] > 0))
+            later, which, at = later[some], which[some], starts[doc[some]] + place[some]
+            own = bits[which]
+            ahead, back = distinct[which, -2].astype(int), distinct[which, -1].astype(int)
             for o in range(before + 1):
-                gone = np.where(later, True, (bits >> np.uint32(o) & 1).astype(bool)) & (back >= o) & (ahead >= length - o)
+                gone = (later | (own >> np.uint32(o) & 1).astype(bool)) & (back >= o) & (ahead >= length - o)
                 np.add.at(edge, at[gone] - o, 1)
                 np.add.at(edge, at[gone] - o + length, -1)
         covered = np.cumsum(edge) > 0
@@ -415,13 +425,11 @@ def dedup(
         .groupBy("bucket").applyInPandas(reply, "block long, bucket int, hashes binary, hot binary")
     )
     runs = rows.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(
-        send_runs,
-        "block long, bucket int, shared binary, rest binary, least binary, counts binary, docs binary, places binary",
-    )
-    verdicts = runs.groupBy("bucket").applyInPandas(
-        merge, "block long, docs binary, places binary, lowest binary, bits binary, ahead binary, back binary"
+        send_runs, "block long, bucket int, shared binary, rest binary, least binary"
     )
-    out = rows.groupBy("block").cogroup(verdicts.groupBy("block")).applyInPandas(
+    verdicts = runs.groupBy("bucket").applyInPandas(merge, "block long, bucket int, nth binary, lowest binary, bits binary")
+    told = replies.unionByName(verdicts, allowMissingColumns=True)
+    out = rows.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
         remove,
         f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}, carry string",
     )
