@@ -19,8 +19,9 @@ only the suffixes at anchors are sorted. The steps, each over blocks of document
 4. Verdicts on the rows of a run return to the block that sent it. It finds its surroundings
    again, so where they occur in its documents never leaves it, and removes the bytes.
 
-An anchor found in very many blocks could gather any number of different surroundings in
-one bucket. Beyond ``hot`` blocks its windows are dealt out one by one, each by its own hash.
+An anchor at the edge of a common passage has other surroundings in each document, and all
+of them would gather in one bucket. Beyond ``hot`` blocks its windows are dealt out one by
+one, each by its own hash, so those that differ part, and equal ones are a row for each block.
 """
 
 from __future__ import annotations
@@ -276,7 +277,7 @@ def _pack(*arrays: np.ndarray) -> list[bytes]:
 def dedup(
     docs: DataFrame,
     length: int = 50,
-    hot: int = 100_000,
+    hot: int = 256,
     block_bytes: int = 4_000_000,
     bucket_bytes: int = 4_000_000,
     carry: str | None = None,
