@@ -1,7 +1,8 @@
 """Packing by lexical retrieval: neighbours of a seed document fill its window.
 
-Documents are dealt to shards of a bounded number of bytes. Each shard holds a BM25
-inverted index of its own documents. A window begins with a seed, the index returns the
+Documents are dealt to shards of a bounded number of bytes by their heaviest shared terms,
+so that related ones meet. Each shard holds a BM25 inverted index of its own documents,
+with document frequencies and the mean length of all. A window begins with a seed, the index returns the
 seed's unused neighbours, best first, and they are laid end to end until the window is
 full; the last is cut there, and what is left of it seeds the next window.
 """
@@ -9,32 +10,42 @@ full; the last is cut there, and what is left of it seeds the next window.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import utf8, whole_bytes
+from .common import bound_batches, stored, utf8
 
 K1, B = 1.2, 0.75
 
 
+def idf(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
+
 class Index:
-    """BM25 inverted index of one shard over token ids."""
+    """BM25 inverted index of one shard over token ids.
+
+    known is (documents, mean length, df of each id) of all shards; without it those of these documents are used.
+    """
 
-    def __init__(self, documents: list[np.ndarray], common: float = 0.2, terms: int = 16):
+    def __init__(self, documents: list[np.ndarray], common: float = 0.2, terms: int = 16, known: tuple | None = None):
         n = len(documents)
         sizes = np.array([len(x) for x in documents], np.int64)
         owner = np.repeat(np.arange(n, dtype=np.int64), sizes)
         whole = np.concatenate(documents).astype(np.int64)
         keys, tf = np.unique(owner << 32 | whole, return_counts=True)
         doc, term = keys >> 32, keys & 0xFFFFFFFF
-        _, term, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        length = K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))
-        weight = idf[term] * tf * (K1 + 1) / (tf + length[doc])
+        ids, term, df = np.unique(term, return_inverse=True, return_counts=True)
+        whole_n, mean, whole_df = known or (n, max(1.0, sizes.mean()), None)
+        rare = idf(whole_n, df if whole_df is None else whole_df[ids])
+        length = K1 * (1 - B + B * sizes / mean)
+        weight = rare[term] * tf * (K1 + 1) / (tf + length[doc])
         # terms in more than a share of the documents say little, those in one document lead nowhere
         useful = (df[term] > 1) & (df[term] <= max(2, common * n))
         doc, term, weight = doc[useful], term[useful], weight[useful]
@@ -59,12 +70,12 @@ class Index:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def fill(documents: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
+def fill(documents: list[np.ndarray], window: int, known: tuple | None = None) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece; only what is left at the end is not a full window.
 
     That rest becomes sequences whose lengths are powers of two, which need no padding.
     """
-    index = Index(documents)
+    index = Index(documents, known=known)
     used = np.zeros(len(documents), bool)
     order, following = [], 0
     filled = 0
@@ -110,6 +121,77 @@ def fill(documents: list[np.ndarray], window: int) -> list[tuple[int, int, int,
     return out
 
 
+def dealt(docs: DataFrame, end_id: int, shard_bytes: int) -> tuple[DataFrame, Broadcast]:
+    """(doc_id, ids, shard) of every row, and what is counted over all of them: documents, mean length, df of each id.
+
+    A document goes where its heaviest shared term goes. Terms with few bytes share a
+    shard; one with more than shard_bytes is dealt out by the documents' second terms, and
+    where these are too many as well (copies, say), by ids. Counts that go to the driver
+    are one for each id of the vocabulary and one for each shard.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = [np.append(tokens.encode(x.decode("utf-8", "replace")), np.uint32(end_id)).astype("<u2").tobytes() for x in batch["body"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "size": batch["size"], "ids": ids})
+
+    body = utf8("text")
+    encoded = stored(docs.select("doc_id", F.octet_length(body).cast("long").alias("size"), body.alias("body")).mapInPandas(encode, f"doc_id {kind}, size long, ids binary"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, n, whole = np.zeros(1 << 16, np.int64), 0, 0
+        for batch in batches:
+            for x in batch["ids"]:
+                x = np.frombuffer(x, "<u2")
+                df[np.unique(x)] += 1
+                n, whole = n + 1, whole + len(x)
+        at = np.flatnonzero(df)
+        yield pd.DataFrame({"term": np.r_[at, -1, -2], "n": np.r_[df[at], n, whole]})
+
+    counts = {r["term"]: r["n"] for r in encoded.select("ids").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, whole = counts.pop(-1, 0), counts.pop(-2, 0)
+    df = np.zeros(1 << 16, np.int64)
+    df[list(counts)] = list(counts.values())
+    known = spark.sparkContext.broadcast((n, whole / max(1, n), df))
+
+    def heaviest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, mean, df = known.value
+        for batch in batches:
+            out = []
+            for x in batch["ids"]:
+                x = np.frombuffer(x, "<u2")
+                term, tf = np.unique(x, return_counts=True)
+                shared = df[term] > 1
+                term, tf = term[shared].astype(np.int64), tf[shared]
+                weight = idf(n, df[term]) * tf / (tf + K1 * (1 - B + B * len(x) / mean))
+                out.append([*term[np.argsort(-weight, kind="stable")[:2]].tolist(), -1, -1][:2])
+            first = np.array(out, np.int64).reshape(-1, 2)
+            yield batch.assign(t1=first[:, 0], t2=first[:, 1])
+
+    rows = stored(encoded.mapInPandas(heaviest, f"doc_id {kind}, size long, ids binary, t1 long, t2 long"))
+    sums = lambda x, key: {r[key]: r["n"] for r in x.groupBy(key).agg(F.sum(F.col("size") + 1).alias("n")).collect()}
+    place, base, room = [], 0, 0
+    for term, size in sorted(sums(rows, "t1").items()):
+        parts = -(-size // shard_bytes)
+        if parts > 1 or room + size > shard_bytes:
+            base, room = base + (room > 0), 0
+        place.append((term, base, parts))
+        base, room = (base + parts, 0) if parts > 1 else (base, room + size)
+    place = spark.createDataFrame(place, "t1 long, base long, parts long")
+    rows = rows.join(F.broadcast(place), "t1").withColumn("first", F.col("base") + F.pmod(F.xxhash64("t2"), F.col("parts")))
+    begins, at = [], 0
+    for first, size in sorted(sums(rows, "first").items()):
+        pieces = -(-size // shard_bytes) if size > 2 * shard_bytes else 1
+        begins.append((first, at, pieces))
+        at += pieces
+    begins = spark.createDataFrame(begins, "first long, begin long, pieces long")
+    shard = F.col("begin") + F.pmod(F.xxhash64("doc_id", "ids"), F.col("pieces"))
+    return rows.join(F.broadcast(begins), "first").select("doc_id", "ids", shard.alias("shard")), known
+
+
 def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, shard_bytes: int = 4_000_000) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece.
 
@@ -118,15 +200,14 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, shard_bytes: int
     whose rest is split into powers of two. Rows with an equal id are packed as so many
     documents; null ids are kept. An empty table gives an empty result.
     """
-    shards = max(1, -(-whole_bytes(docs) // shard_bytes))
-    shard = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(shards))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    rows, known = dealt(docs, end_id, shard_bytes)
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        order = sorted(range(len(rows)), key=lambda i: (pd.isna(rows["doc_id"].iloc[i]), rows["doc_id"].iloc[i], rows["body"].iloc[i]))
+        order = sorted(range(len(rows)), key=lambda i: (pd.isna(rows["doc_id"].iloc[i]), rows["doc_id"].iloc[i], rows["ids"].iloc[i]))
         rows = rows.iloc[order]
-        ids = [np.append(tokens.encode(x.decode("utf-8", "replace")), np.uint32(end_id)) for x in rows["body"]]
-        pieces = fill(ids, window)
+        ids = [np.frombuffer(x, "<u2").astype(np.uint32) for x in rows["ids"]]
+        pieces = fill(ids, window, known.value)
         which = [p[0] for p in pieces]
         return pd.DataFrame(
             {
@@ -140,11 +221,7 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, shard_bytes: int
             }
         )
 
-    return (
-        docs.select("doc_id", utf8("text").alias("body"), shard.alias("shard"))
-        .groupBy("shard")
-        .applyInPandas(
-            one,
-            f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
-        )
+    return rows.groupBy("shard").applyInPandas(
+        one,
+        f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
     )
