@@ -34,7 +34,7 @@ class Index:
     known is (documents, mean length, df of each id) of all shards; without it those of these documents are used.
     """
 
-    def __init__(self, documents: list[np.ndarray], common: float = 0.2, terms: int = 16, known: tuple | None = None):
+    def __init__(self, documents: list[np.ndarray], common: float = 1.0, known: tuple | None = None):
         n = len(documents)
         sizes = np.array([len(x) for x in documents], np.int64)
         owner = np.repeat(np.arange(n, dtype=np.int64), sizes)
@@ -46,27 +46,23 @@ class Index:
         rare = idf(whole_n, df if whole_df is None else whole_df[ids])
         length = K1 * (1 - B + B * sizes / mean)
         weight = rare[term] * tf * (K1 + 1) / (tf + length[doc])
-        # terms in more than a share of the documents say little, those in one document lead nowhere
+        # terms in one document of the shard lead nowhere in it; common are only dropped where a caller says so
         useful = (df[term] > 1) & (df[term] <= max(2, common * n))
-        doc, term, weight = doc[useful], term[useful], weight[useful]
-        order = np.lexsort((-weight, doc))
-        self.query_terms = term[order]
-        self.query_bounds = np.searchsorted(doc[order], np.arange(n + 1))
-        order = np.argsort(term, kind="stable")
-        self.docs, self.weights = doc[order], weight[order]
-        self.bounds = np.searchsorted(term[order], np.arange(len(df) + 1))
-        self.terms = terms
+        # ordered by document: its terms are the seed's query, and its postings are summed at once
+        self.docs, self.terms, self.weights = doc[useful], term[useful], weight[useful]
+        self.bounds = np.searchsorted(self.docs, np.arange(n + 1))
+        self.asked = np.zeros(len(df), bool)
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the seed's heaviest terms, best score first, ties in order."""
-        own = self.query_terms[self.query_bounds[seed] : self.query_bounds[seed + 1]][: self.terms]
+        """Unused documents that share one of the seed's terms, best score over all of them first, ties in order."""
+        own = self.terms[self.bounds[seed] : self.bounds[seed + 1]]
         if not len(own):
             return own
-        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in own]
-        docs = np.concatenate([self.docs[s] for s in spans])
-        score = np.bincount(docs, np.concatenate([self.weights[s] for s in spans]), len(used))
-        found = np.unique(docs)
-        found = found[~used[found]]
+        self.asked[own] = True
+        hit = self.asked[self.terms]
+        self.asked[own] = False
+        score = np.bincount(self.docs, self.weights * hit, len(used))
+        found = np.flatnonzero((score > 0) & ~used)
         return found[np.argsort(-score[found], kind="stable")]
 
 

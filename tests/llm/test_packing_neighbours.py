@@ -50,5 +50,22 @@ def test_frequencies_are_those_of_all_shards():
     df = np.zeros(1 << 16, np.int64)
     df[[1, 5, 6, 7, 8]] = 1000, 2, 900, 1, 1
     index = packing.Index(a, common=1.0, known=(1000, 4.0, df))
-    assert index.query_terms[0] == 1  # id 5, rare among all, before 6 and 1, though all are in both
-    assert index.weights.max() > 10 * np.sort(index.weights)[-3]
+    rare = {int(t): w for t, w in zip(index.terms[:3], index.weights[:3], strict=True)}  # of document 0: ids 1, 5, 6
+    assert rare[1] > 10 * rare[0] and rare[1] > 10 * rare[2]
+
+
+def test_copies_of_a_third_find_each_other():
+    """With the production values."""
+    rnd = np.random.default_rng(1)
+    copy = rnd.integers(100, 160, 50).astype(np.uint32)
+    documents = [copy if i % 3 == 0 else rnd.integers(1000, 3000, 50).astype(np.uint32) for i in range(90)]
+    found = packing.Index(documents).neighbours(0, np.arange(90) == 0)
+    assert found[:29].tolist() == list(range(3, 90, 3))
+
+
+def test_few_long_documents_ask_with_all_their_terms():
+    """The best neighbour shares many light terms, the others a few heavy ones."""
+    common = np.arange(100, 160, dtype=np.uint32)
+    documents = [np.r_[common, np.uint32(500), np.uint32(501)], common, np.r_[np.uint32(500), np.arange(700, 760, dtype=np.uint32)], common + np.uint32(1000), common]
+    found = packing.Index(documents).neighbours(0, np.arange(5) == 0)
+    assert found.tolist() == [1, 4, 2]
