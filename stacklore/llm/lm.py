@@ -4,8 +4,8 @@ Gathered from all training texts: the counts of words, of subword ids, and of pa
 input row and the leaf that follows. Blocks of documents count for themselves and send
 packed counts to buckets (words, by their hash) or up a tree of sums (ids and pairs, whose
 number is fixed). The attention network is first trained on a bounded sample; then blocks
-of a fixed share of the training texts each train it further on their own, and the mean of
-their weights is the model, so what it has learned from grows with the corpus.
+of all training texts (one in one_in of them, if a caller says so) each train it further on
+their own, and the mean of their weights is the model.
 """
 
 from __future__ import annotations
@@ -99,7 +99,7 @@ def score(
     block_bytes: int = 8_000_000,
     bucket_bytes: int = 16_000_000,
     sample: int = 1500,
-    one_in: int = 16,
+    one_in: int = 1,
 ) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
