@@ -21,10 +21,21 @@ SENTENCE_END = ".!?;。！？；…"
 
 
 @pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
+def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 
 
+#: ASCII and the Latin letters and signs that NFKC leaves as they are, whatever of these stands beside them
+NFKC_STABLE = (
+    r"\x{00}-\x{9F}\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}"
+)
+
+
+def nfkc(s: Column) -> Column:
+    """NFKC form; only texts with a character that it could change leave the JVM."""
+    return F.coalesce(_nfkc(F.when(s.rlike(f"[^{NFKC_STABLE}]"), s)), s)
+
+
 def unify_line_ends(s: Column) -> Column:
     return F.regexp_replace(s, "\r\n|[\r\u000b\u000c\u0085\u2028\u2029]", "\n")
 
@@ -40,7 +51,7 @@ def unify_punctuation(s: Column) -> Column:
 
 def fold_lines(s: Column) -> Column:
     """Trim spaces of every line and make runs of them one."""
-    return F.regexp_replace(F.regexp_replace(s, "(?:(?<=^)|(?<=\n)) +| +(?=\n|$)", ""), " {2,}", " ")
+    return F.regexp_replace(F.regexp_replace(s, "(?md)^ +| +$", ""), " {2,}", " ")
 
 
 def join_cjk(s: Column) -> Column:

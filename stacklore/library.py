@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import catalog, chunks, search, sequences, structure
+from .operators import catalog, chunks, search, sequences, sinks, structure
 
 
 @dataclass(frozen=True)
@@ -54,15 +54,20 @@ class Library:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def ingest(self, docs: DataFrame, level) -> None:
-        """Structure, chunk and embed documents (doc_id, text, title); those that are there already are replaced."""
+        """Structure, chunk and embed documents (doc_id, text, title).
+
+        Those that are there already are replaced, all others stay as they are, on the same
+        shelf too; only what comes in is chunked and embedded. The same call again changes nothing.
+        """
         if bad := self.profile.problems():
             raise ValueError("; ".join(bad))
         blocks = structure.text_blocks(docs, level)
-        nodes = structure.plan_tree(blocks, structure.contents_of(blocks), docs.select("doc_id", "title"))
         shelf = F.floor(F.col("doc_id") / 1000).cast("long").alias("shelf")
-        write = lambda df, name: df.select("*", shelf).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shelf").parquet(f"{self.path}/{name}")
-        write(nodes, "nodes")
-        write(search.hash_vectors(chunks.plan_chunks(self.table("nodes").drop("shelf")), "text", self.profile.dim), "chunks")
+        came = docs.select("doc_id", shelf).where("doc_id is not null").distinct()
+        nodes = sinks.stored(structure.plan_tree(blocks, structure.contents_of(blocks), docs.select("doc_id", "title")))
+        found = search.hash_vectors(chunks.plan_chunks(nodes), "text", self.profile.dim)
+        for name, rows in (("nodes", nodes), ("chunks", found)):
+            sinks.merge_items(rows.select("*", shelf), came, f"{self.path}/{name}", "doc_id", "shelf")
 
     def embed(self, text: str) -> list[float]:
         if not text.strip():

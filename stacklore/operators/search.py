@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -97,18 +98,20 @@ def lexical_score(text: Column, query: str) -> Column:
 
 
 def hash_vectors(rows: DataFrame, text: str, dims: int = 64, normalise: Callable[[str], str] = str.lower) -> DataFrame:
-    """rows with column embedding: signed counts of hashed words. A stand-in for an embedding service, alike everywhere."""
+    """rows with column embedding: signed counts of hashed words. A stand-in for an embedding service, alike everywhere.
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zlib
+    Each distinct word of a batch is hashed once, and the counts of all its rows are one sum.
+    """
 
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = np.zeros((len(batch), dims), np.float32)
-            for i, body in enumerate(batch[text]):
-                for word in normalise(body or "").split():
-                    h = zlib.crc32(word.encode())
-                    out[i, h % dims] += 1 if h >> 31 else -1
-            yield batch.assign(embedding=list(out))
+            split = [normalise(body or "").split() for body in batch[text]]
+            words = [w for own in split for w in own]
+            hashes = {w: zlib.crc32(w.encode()) for w in set(words)}
+            each = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
+            row = np.repeat(np.arange(len(split)), [len(own) for own in split])
+            counts = np.bincount(row * dims + each % dims, np.where(each >> 31, 1.0, -1.0), len(split) * dims)
+            yield batch.assign(embedding=list(counts.reshape(-1, dims).astype(np.float32)))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInPandas(of, f"{fields}, embedding array<float>")

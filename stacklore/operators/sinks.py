@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +18,62 @@ def append_vectors(chunks: DataFrame, path: str, dims: int) -> None:
 
 
 def replace_items(chunks: DataFrame, path: str) -> None:
-    """Replace just the partitions that chunks has rows of; the same call again changes nothing."""
+    """Replace the whole partitions that chunks has rows of; the same call again changes nothing.
+
+    A partition_idx holds one item here (see partition_of); where several share one, use merge_items.
+    """
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("partition_idx").parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir; only a local session may do without that."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if base is None and (known := context._jsc.sc().getCheckpointDir()).isDefined():
+        base = known.get()
+    if base is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="stacklore-")
+    return f"{base}/stacklore-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to a shared folder and read back, so that what is read twice is worked out once."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def merge_items(new: DataFrame, gone: DataFrame, path: str, key: str, partition: str) -> None:
+    """Put the rows of new in place of all rows of the keys in gone (key, partition), and leave every other row alone.
+
+    Only the partitions named in gone are read and written again. The merged rows are
+    written beside the table first, so a run that is lost on the way loses nothing, and the
+    same call again gives the same table.
+    """
+    spark = new.sparkSession
+    system, folder = _folder(spark, path)
+    merged = new
+    if system.exists(folder):
+        touched = gone.select(partition).distinct()
+        old = spark.read.schema(new.schema).parquet(path)
+        kept = old.join(touched, partition, "left_semi").join(gone.select(key).distinct(), key, "left_anti")
+        merged = kept.select(*new.columns).unionByName(new)
+    merged = stored(merged)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    # a partition that lost all its rows has none to overwrite it with
+    empty = gone.select(partition).distinct().join(merged.select(partition).distinct(), partition, "left_anti")
+    for row in empty.toLocalIterator():
+        system, folder = _folder(spark, f"{path}/{partition}={row[0]}")
+        system.delete(folder, True)
+
+
 def compact(spark: SparkSession, path: str, partition: int, into: str, files: int = 1) -> None:
     spark.read.parquet(path).where(F.col("partition_idx") == partition).coalesce(files).write.mode("overwrite").parquet(into)
 

@@ -135,12 +135,17 @@ def plan_tree(blocks: DataFrame, toc: DataFrame, titles: DataFrame) -> DataFrame
 
 
 def breadcrumbs(nodes: DataFrame) -> DataFrame:
-    """(doc_id, node_id, breadcrumb) of every leaf: titles of its ancestors from the top, by containment of spans."""
-    leaves = nodes.where("text is not null").select("doc_id", "node_id", F.col("toc_lo").alias("at"))
-    above = nodes.where("text is null").select("doc_id", "depth", "title", "toc_lo", "toc_hi", F.col("node_id").alias("above_id"))
-    held = leaves.join(above, "doc_id").where("toc_lo <= at and at <= toc_hi")
-    crumbs = F.array_sort(F.collect_list(F.struct("depth", "above_id", "title")))
-    return held.groupBy("doc_id", "node_id").agg(F.array_join(crumbs["title"], " › ").alias("breadcrumb"))
+    """(doc_id, node_id, breadcrumb) of every leaf: titles of its ancestors from the top.
+
+    Organizing nodes have ascending ids from the top down, so the last one of each smaller
+    depth before a node is its ancestor; a leaf joins the path of its parent, by its id.
+    """
+    upper = nodes.where("text is null").select("doc_id", "node_id", "depth", "title")
+    before = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda d: F.last(F.when(F.col("depth") == d, F.struct("title")), ignorenulls=True).over(before)["title"]
+    above = [F.when(F.col("depth") > d, last(d)) for d in range(DEPTHS + 1)]
+    paths = upper.select(F.col("node_id").alias("parent_id"), F.array_join(F.array(*above, "title"), " › ").alias("breadcrumb"))
+    return nodes.where("text is not null").select("doc_id", "node_id", "parent_id").join(paths, "parent_id").select("doc_id", "node_id", "breadcrumb")
 
 
 def toc_stats(toc: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import library
 from ..functions import identifiers as ids
 from ..functions import text as tx
-from ..operators import book_audit, chunks, dedup, distill, paper_audit, quality, references, search, sequences, structure
+from ..operators import book_audit, chunks, dedup, distill, paper_audit, quality, references, search, sequences, sinks, structure
 from ..sources import html
 from .registry import query, table
 
@@ -84,12 +85,12 @@ _EQUAL = "WITH h AS (SELECT doc_id, sha256({0}) AS content_id FROM documents) SE
 
 @query(_EQUAL.format("text"))
 def dedup_exact(spark, sf_dir):
-    return dedup.first_of_equal(_docs(spark, sf_dir).select("doc_id", "text"), F.sha2("text", 256)).drop("text")
+    return dedup.first_of_equal(_docs(spark, sf_dir), F.sha2("text", 256))
 
 
 @query(_EQUAL.format(_NORM))
 def dedup_normalized(spark, sf_dir):
-    return dedup.first_of_equal(_docs(spark, sf_dir).select("doc_id", "text"), tx.norm_sha256(F.col("text"))).drop("text")
+    return dedup.first_of_equal(_docs(spark, sf_dir), tx.norm_sha256(F.col("text")))
 
 
 @query(f"""
@@ -127,6 +128,16 @@ def breadcrumb(spark, sf_dir):
     return structure.breadcrumbs(nodes).select("doc_id", order.cast("long").alias("leaf"), "breadcrumb")
 
 
+@query(f"WITH {_LINES} SELECT d.doc_id, count(l.doc_id) + 1 AS nodes FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id GROUP BY d.doc_id")
+def library_ingest(spark, sf_dir):
+    """Nodes of each document after three ingests into the same shelves, the last of documents that are there."""
+    kept = library.Library(spark, sinks.scratch(spark))
+    docs = _docs(spark, sf_dir).select("doc_id", "text", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"))
+    for part in ("doc_id % 2 = 0", "doc_id % 2 = 1", "doc_id % 5 = 0"):
+        kept.ingest(docs.where(part), _level())
+    return kept.table("nodes").groupBy("doc_id").agg(F.count("*").alias("nodes"))
+
+
 @query()
 def chunk_plan(spark, sf_dir):
     return chunks.plan_chunks(_tree(spark, sf_dir)[2]).drop("text")

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+# Vocabularies of the queue.
+PRIORITIES = ("high", "normal", "low")
+OUTCOMES = ("pending", "done", "failed", "skipped_duplicate", "cancelled")
+
 
 def ingest(spark: SparkSession, inbox: str, schema: str, library: str, checkpoint: str, key: str = "source_sha256") -> StreamingQuery:
     """Add the new sources of inbox (Parquet) to library, each hash once, and stop when all there is has been read.
@@ -54,12 +58,15 @@ def queue_counts(jobs: DataFrame) -> DataFrame:
 
 def next_jobs(jobs: DataFrame, n: int = 1) -> DataFrame:
     """Pending jobs by priority (high, normal, low), then in the order they came."""
-    rank = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "normal", 1).otherwise(2)
+    rank = F.array_position(F.array(*map(F.lit, PRIORITIES)), F.col("priority"))
+    other = F.raise_error(F.concat(F.lit("no priority: "), F.coalesce("priority", F.lit("null")))).cast("long")
+    rank = F.when(rank > 0, rank).otherwise(other)
     return jobs.where("state = 'pending'").orderBy(rank, "seq").limit(n)
 
 
 def settle(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
     """jobs with the states of outcomes (job_id, outcome); running jobs without one are pending again."""
     out = jobs.join(outcomes, "job_id", "left")
-    state = F.when(F.col("outcome").isNotNull(), F.col("outcome")).when(F.col("state") == "running", "pending").otherwise(F.col("state"))
+    other = F.raise_error(F.concat(F.lit("no outcome of a job: "), F.col("outcome")))
+    state = F.when(F.col("outcome").isin(*OUTCOMES), F.col("outcome")).when(F.col("outcome").isNotNull(), other).when(F.col("state") == "running", "pending").otherwise(F.col("state"))
     return out.withColumn("state", state).select(*jobs.columns)

@@ -59,6 +59,23 @@ def test_library(spark, tmp_path):
         library.search("x", doc_id=1, exclude=(2,))
 
 
+def test_a_second_ingest_into_a_shelf_keeps_what_is_there(spark, tmp_path):
+    library = Library(spark, str(tmp_path / "lib"))
+    level = F.when(F.col("line").rlike("^# "), 1)
+    row = lambda i, text: (i, f"# Head {i}\n{text}", f"Book {i}")
+    docs = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string, title string")
+    library.ingest(docs(row(1, "owls fly"), row(2, "wrens sing"), row(1500, "larks rise")), level)
+    first = {r.chunk_sha256 for r in library.table("chunks").where("doc_id = 2").collect()}
+    for _ in range(2):  # the same call again changes nothing
+        library.ingest(docs(row(3, "gulls cry"), row(1, "owls sleep")), level)
+        books = {r.doc_id: r.n for r in library.table("nodes").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+        assert books == {1: 3, 2: 3, 3: 3, 1500: 3}
+        assert {r.doc_id: r.text for r in library.table("chunks").collect()} == {1: "owls sleep", 2: "wrens sing", 3: "gulls cry", 1500: "larks rise"}
+    assert {r.chunk_sha256 for r in library.table("chunks").where("doc_id = 2").collect()} == first
+    library.ingest(docs((1500, "", "Book 1500")), level)  # the only chunk of its shelf goes
+    assert {r.doc_id for r in library.table("chunks").collect()} == {1, 2, 3} and library.table("nodes").where("doc_id = 1500").count() == 1
+
+
 def test_profile():
     assert Profile().problems() == []
     assert len(Profile(index="ivf-pq", dim=64, sub_vectors=4).problems()) == 1

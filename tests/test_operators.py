@@ -131,7 +131,7 @@ def test_passages_meet_whole(spark):
     docs = spark.createDataFrame([(1, "so One two three four five six seven eight nine, ten."), (2, "one two three"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(7, "one two three four five six seven eight nine"), (8, "two three"), (9, "")], "item_id long, text string")
     assert {tuple(r) for r in dedup.passages_in(docs, items).collect()} == {(1, 7), (1, 8), (2, 8)}
-    assert {tuple(r) for r in dedup.passages_in(docs, items, broadcast_rows=0).collect()} == {(1, 7), (1, 8), (2, 8)}
+    assert {tuple(r) for r in dedup.passages_in(docs, items, broadcast_bytes=0).collect()} == {(1, 7), (1, 8), (2, 8)}
 
 
 def test_book_audit(spark):
