@@ -5,11 +5,15 @@ vector, and the fingerprint is the sum of these vectors, each lane modulo a powe
 paragraphs can be added or taken away later by adding or subtracting vectors, and their
 order does not matter. The vector of a paragraph has two parts:
 
-* four lanes modulo 2**32, hashes of the whole paragraph, for equality;
-* 64 lanes modulo 2**16. Each two words in a row (the line's start and end count as
-  words) have a hash, and lane i counts those whose bit i is set. Less half of the number
-  of pairs, the lanes of two documents are random projections of their word pairs, and
-  the cosine between them estimates the cosine of the pairs themselves: a likeness.
+* four lanes, hashes of the whole paragraph, for equality;
+* a lane for the number of word pairs (each two words in a row; the line's start and end
+  count as words), and 64 lanes, of which lane i counts the pairs whose hash has bit i set.
+  Less half of the number of pairs, the lanes of two documents are random projections of
+  their word pairs, and the cosine between them estimates the cosine of the pairs
+  themselves: a likeness.
+
+All lanes are modulo 2**32. A fingerprint holds all that is needed to compare it, to add
+paragraphs to it and to take them away.
 """
 
 from __future__ import annotations
@@ -21,12 +25,14 @@ from .common import cut, stored
 
 #: 32 long sums hold two lanes each: bit b and bit b + 32 of the pairs' hashes
 PACKED, LOW = 32, 0xFFFFFFFF
-EXACT = [f"e{i}" for i in range(4)]
+#: lanes of a fingerprint: four for equality, the number of pairs, the counts of their bits
+EQUALITY, COUNT, ALL = 4, 4, 4 + 1 + 64
+EXACT = [f"e{i}" for i in range(EQUALITY)]
 LANES = [f"l{i}" for i in range(PACKED)]
 
 
 def vectors(versions: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
-    """keys, copies, n_pairs, exact (4 longs) and lanes (64 longs) of each distinct key.
+    """keys, copies and lanes (ALL longs below 2**32) of each distinct key.
 
     Equal keys must mean equal bodies; such repeats come out once, with their number in
     copies. A null body is an empty one: one empty paragraph.
@@ -61,36 +67,49 @@ def vectors(versions: DataFrame, keys: list[str], body: str = "body") -> DataFra
         once(F.shiftrightunsigned("h1", 32)).alias("e3"),
         *[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(spread)).alias(f"l{b}") for b in range(PACKED)],
     )
+    reduced = lambda x: F.expr(f"({x} div copies) & {LOW}L")
     return sums.select(
         *keys,
         "copies",
-        F.expr("n_pairs div copies").alias("n_pairs"),
-        F.array(*[F.expr(f"({e} div copies) & {LOW}L") for e in EXACT]).alias("exact"),
         F.array(
-            *[F.expr(f"({x} & {LOW}L) div copies") for x in LANES],
-            *[F.expr(f"shiftrightunsigned({x}, 32) div copies") for x in LANES],
+            *[reduced(e) for e in EXACT],
+            reduced("n_pairs"),
+            *[reduced(f"({x} & {LOW}L)") for x in LANES],
+            *[reduced(f"shiftrightunsigned({x}, 32)") for x in LANES],
         ).alias("lanes"),
     )
 
 
-def text_form(exact: Column, lanes: Column) -> Column:
-    """The fingerprint as hexadecimal digits, 8 for each exact lane and 4 for each other lane."""
-    digits = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
-    return F.concat(
-        F.array_join(F.transform(exact, lambda x: digits(x, 8)), ""),
-        F.array_join(F.transform(lanes, lambda x: digits(x.bitwiseAND(F.lit(0xFFFF)), 4)), ""),
-    )
+def text_form(lanes: Column) -> Column:
+    """The fingerprint as hexadecimal digits, 8 for each lane."""
+    return F.array_join(F.transform(lanes, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+
+
+def parse(fingerprint: Column) -> Column:
+    """The lanes of a fingerprint in its text form."""
+    digits = lambda i: F.conv(F.substring(fingerprint, i * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    return F.transform(F.sequence(F.lit(0), F.lit(ALL - 1)), digits)
+
 
+def add(fingerprint: Column, more: Column) -> Column:
+    """The fingerprint of all paragraphs of two fingerprints."""
+    return text_form(F.zip_with(parse(fingerprint), parse(more), lambda x, y: (x + y).bitwiseAND(F.lit(LOW))))
 
-def likeness(lanes: Column, n: Column, other: Column, other_n: Column) -> Column:
-    """Cosine of two documents' centred lanes, 0 where negative; equal lanes are 1."""
-    own = F.transform(lanes, lambda x: (2 * x - n).cast("double"))
-    its = F.transform(other, lambda x: (2 * x - other_n).cast("double"))
+
+def remove(fingerprint: Column, less: Column) -> Column:
+    """The fingerprint without the paragraphs of another, all of which it must hold."""
+    return text_form(F.zip_with(parse(fingerprint), parse(less), lambda x, y: (x - y).bitwiseAND(F.lit(LOW))))
+
+
+def likeness(lanes: Column, other: Column) -> Column:
+    """Cosine of the centred lanes of two fingerprints (see parse), 0 where negative; equal lanes are 1."""
+    centred = lambda x: F.transform(F.slice(x, COUNT + 2, ALL), lambda v: (2 * v - x[COUNT]).cast("double"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    own, its = centred(lanes), centred(other)
     size = F.sqrt(dot(own, own)) * F.sqrt(dot(its, its))
     cosine = F.when(size > 0, dot(own, its) / size).otherwise(0.0)
-    same = (lanes == other) & (n == other_n)
-    return F.when(same, 1.0).otherwise(F.least(F.greatest(cosine, F.lit(0.0)), F.lit(1.0)))
+    bits = lambda x: F.slice(x, COUNT + 1, ALL)
+    return F.when(bits(lanes) == bits(other), 1.0).otherwise(F.least(F.greatest(cosine, F.lit(0.0)), F.lit(1.0)))
 
 
 def following(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -119,8 +138,8 @@ def fingerprint_edits(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     """Fingerprints of every text and of its edited text, and how alike they are.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as
-    many (or all) of the next document in ascending id. A null text is empty. Rows with
-    equal id and text come out once. Where several texts share an id, that with the
+    many (or all) of the next document in ascending id. A null text is empty. Every row of
+    docs gives a row, repeats too. Columns that are not named are not read. Where several texts share an id, that with the
     smallest hash is the one that the preceding document sees. A null id comes out, but
     has no next document: nothing replaces its second half, and near_next is 0.
     """
@@ -160,18 +179,17 @@ def fingerprint_edits(docs: DataFrame, id_column: str = "doc_id", text: str = "t
             )
         ).alias("v"),
     ).select("doc_id", "hash", "n_chars", "v.edited_sha256", "v.body")
-    found = stored(vectors(versions, ["doc_id", "hash", "n_chars", "edited_sha256"]).drop("copies"))
+    found = stored(vectors(versions, ["doc_id", "hash", "n_chars", "edited_sha256"]))
     plain = found.where("edited_sha256 is null").drop("edited_sha256")
     changed = found.where("edited_sha256 is not null").select(
-        F.col("doc_id").alias("of"), F.col("hash").alias("of_hash"), "edited_sha256",
-        F.col("n_pairs").alias("edited_n"), F.col("exact").alias("edited_exact"), F.col("lanes").alias("edited_lanes"),
+        F.col("doc_id").alias("of"), F.col("hash").alias("of_hash"), "edited_sha256", F.col("lanes").alias("edited_lanes")
     )
     seen = (
         plain.groupBy("doc_id")
-        .agg(F.min(F.struct("hash", F.col("n_pairs").alias("next_n"), F.col("lanes").alias("next_lanes"))).alias("s"))
-        .select(F.col("doc_id").alias("next_id"), "s.next_n", "s.next_lanes")
+        .agg(F.min(F.struct("hash", F.col("lanes").alias("next_lanes"))).alias("s"))
+        .select(F.col("doc_id").alias("next_id"), "s.next_lanes")
     )
-    return (
+    each = (
         plain.join(changed, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")))
         .join(after, "doc_id", "left")
         .join(seen, "next_id", "left")
@@ -179,11 +197,14 @@ def fingerprint_edits(docs: DataFrame, id_column: str = "doc_id", text: str = "t
             "doc_id",
             "n_chars",
             "edited_sha256",
-            text_form(F.col("exact"), F.col("lanes")).alias("fingerprint"),
-            text_form(F.col("edited_exact"), F.col("edited_lanes")).alias("edited_fingerprint"),
-            likeness(F.col("lanes"), F.col("n_pairs"), F.col("edited_lanes"), F.col("edited_n")).alias("near_edited"),
-            F.coalesce(
-                likeness(F.col("lanes"), F.col("n_pairs"), F.col("next_lanes"), F.col("next_n")), F.lit(0.0)
-            ).alias("near_next"),
+            text_form(F.col("lanes")).alias("fingerprint"),
+            text_form(F.col("edited_lanes")).alias("edited_fingerprint"),
+            likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
+            F.coalesce(likeness(F.col("lanes"), F.col("next_lanes")), F.lit(0.0)).alias("near_next"),
+            "copies",
         )
     )
+    # repeated rows come back, at most 1,000 in an array at a time
+    thousands = each.withColumn("at", F.explode(F.expr("sequence(0L, (copies - 1) div 1000)")))
+    times = F.expr("array_repeat(0, cast(least(1000L, copies - at * 1000) as int))")
+    return thousands.withColumn("one", F.explode(times)).drop("copies", "at", "one")

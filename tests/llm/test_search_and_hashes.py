@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -142,7 +143,7 @@ def test_multiset_fingerprints(spark, odd, none, documents):
         assert found[r.doc_id].n_chars == len(r.text)
     assert np.mean([r.near_edited > r.near_next for r in found.values()]) > 0.95
     odds = multiset_hash.fingerprint_edits(odd).collect()
-    assert len(odds) == odd.distinct().count() and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in odds)
+    assert len(odds) == odd.count() and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in odds)
     by = {r.doc_id: r for r in odds if r.doc_id is not None}
     assert by[1].fingerprint == by[2].fingerprint and by[4].fingerprint == by[5].fingerprint
     assert multiset_hash.fingerprint_edits(none).count() == 0
@@ -150,13 +151,60 @@ def test_multiset_fingerprints(spark, odd, none, documents):
     assert one.edited_sha256 == hashlib.sha256(b"aba").hexdigest()
 
 
-def test_fingerprint_ignores_the_order_of_paragraphs_and_adds_up(spark):
-    df = spark.createDataFrame([(1, "a b c\nd e"), (2, "d e\na b c"), (3, "a b c"), (4, "d e"), (5, "a b c\nd e\nd e")], "doc_id long, body string")
-    v = {r.doc_id: (np.array(r.exact), np.array(r.lanes), r.n_pairs) for r in multiset_hash.vectors(df, ["doc_id"]).collect()}
-    same = lambda x, y: (x[0] == y[0]).all() and (x[1] == y[1]).all() and x[2] == y[2]
-    plus = lambda x, y: ((x[0] + y[0]) % (1 << 32), x[1] + y[1], x[2] + y[2])
-    assert same(v[1], v[2]) and not same(v[1], v[5])
-    assert same(v[1], plus(v[3], v[4])) and same(v[5], plus(v[1], v[4]))
+def plain_lanes(text):
+    """69 lanes modulo 2**32, word by word."""
+    lanes = [0] * 69
+    chain = lambda a, b: xxhash.xxh64_intdigest(b, xxhash.xxh64_intdigest(a, 42))
+    for line in (text or "").split("\n"):
+        raw = line.encode()
+        for k in (0, 1):
+            h = chain(k.to_bytes(4, "little"), raw)
+            lanes[2 * k] += h & 0xFFFFFFFF
+            lanes[2 * k + 1] += h >> 32
+        words = re.split(" +", "\n " + line + " \n")
+        for a, b in zip(words, words[1:]):
+            h = chain(a.encode(), b.encode())
+            lanes[4] += 1
+            for i in range(64):
+                lanes[5 + i] += h >> i & 1
+    return [x % (1 << 32) for x in lanes]
+
+
+def plain_likeness(x, y):
+    if x[4:] == y[4:]:
+        return 1.0
+    a, b = (np.array([2 * v - z[4] for v in z[5:]], float) for z in (x, y))
+    size = np.linalg.norm(a) * np.linalg.norm(b)
+    return min(1.0, max(0.0, float(a @ b / size))) if size else 0.0
+
+
+def test_fingerprints_and_likeness_are_brute_force(documents):
+    rows = documents.orderBy("doc_id").collect()
+    found = {r.doc_id: r for r in multiset_hash.fingerprint_edits(documents).collect()}
+    lanes = {r.doc_id: plain_lanes(r.text) for r in rows}
+    for r, after in list(zip(rows, rows[1:] + rows[:1]))[::7]:
+        got, half = found[r.doc_id], len(r.text) // 2
+        edited = plain_lanes(r.text[: len(r.text) - half] + after.text[:half])
+        assert got.fingerprint == "".join(f"{x:08x}" for x in lanes[r.doc_id])
+        assert got.edited_fingerprint == "".join(f"{x:08x}" for x in edited)
+        assert abs(got.near_edited - plain_likeness(lanes[r.doc_id], edited)) < 1e-9
+        assert abs(got.near_next - plain_likeness(lanes[r.doc_id], lanes[after.doc_id])) < 1e-9
+
+
+def test_stored_fingerprints_add_up_and_compare(spark):
+    """From the text form alone: insertion, deletion and likeness; the order of paragraphs does not matter."""
+    df = spark.createDataFrame([(1, "a b c\nd e"), (2, "d e\na b c"), (3, "a b c"), (4, "d e"), (5, "a b c\nd e\nd e"), (5, "a b c\nd e\nd e")], "doc_id long, text string")
+    rows = multiset_hash.fingerprint_edits(df)
+    assert rows.where("doc_id = 5").count() == 2
+    v = {r.doc_id: r.fingerprint for r in rows.collect()}
+    pair = spark.createDataFrame([(v[3], v[4], v[1], v[5])], "a string, b string, both string, twice string")
+    m = multiset_hash
+    r = pair.select(
+        m.add(F.col("a"), F.col("b")).alias("sum"), m.remove(F.col("twice"), F.col("b")).alias("less"),
+        m.likeness(m.parse(F.col("both")), m.parse(F.col("twice"))).alias("near"), m.text_form(m.parse(F.col("a"))).alias("same"),
+    ).first()
+    assert v[1] == v[2] == r["sum"] == r["less"] and v[1] != v[5] and r["same"] == v[3]
+    assert abs(r["near"] - plain_likeness(plain_lanes("a b c\nd e"), plain_lanes("a b c\nd e\nd e"))) < 1e-9
 
 
 def test_following_ids(spark):
