@@ -18,16 +18,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, utf8
+from .common import bound_batches, drawn, utf8
 
 UNKNOWN = "und"
+#: hashed n-grams that are told apart
+DIMS = 4096
 #: lower-case ASCII letters, all other ASCII bytes as space, bytes of other scripts as they are
 _PLAIN = bytes(
     b | 0x20 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 
 
-def features(texts: list[bytes], dims: int = 4096, slice_bytes: int = 1 << 20) -> np.ndarray:
+def features(texts: list[bytes], dims: int = DIMS, slice_bytes: int = 1 << 20) -> np.ndarray:
     """Root of the share of each hashed bigram and trigram, a row for each whole text."""
     out = np.zeros((len(texts), dims), np.float32)
     at = 0
@@ -91,12 +93,12 @@ class Model:
         return self.decode(features(texts, self.dims) @ self.weights + self.bias)
 
 
-def train(texts: list[bytes], langs: list[str], dims: int = 4096, epochs: int = 80) -> Model:
-    """Fit one logistic classifier for each bit of the code, all at once, by Adam."""
+def train(x: np.ndarray, langs: list[str], epochs: int = 80) -> Model:
+    """Fit one logistic classifier for each bit of the code to features and their languages, all at once, by Adam."""
     names = sorted(set(langs))
-    code = codewords(len(names))
-    x = features(texts, dims)
-    which = np.array([names.index(x) for x in langs], int)
+    code, dims = codewords(len(names)), x.shape[1]
+    place = {name: i for i, name in enumerate(names)}
+    which = np.array([place[y] for y in langs], int)
     aim = code[which].astype(np.float32) if names else np.zeros((0, 0), np.float32)
     # each language weighs the same, however often it was sampled
     weight = (1 / np.maximum(np.bincount(which, minlength=len(names)), 1))[which, None] / max(len(names), 1)
@@ -113,25 +115,33 @@ def train(texts: list[bytes], langs: list[str], dims: int = 4096, epochs: int =
     return Model(names, code, w, b, np.maximum(2 * right - 1, 0.01), dims)
 
 
-def fit(docs: DataFrame, learn: Column, per_language: int = 400, languages: int = 500) -> Model:
-    """Learn from about per_language whole texts of each of the most frequent languages.
+def fit(docs: DataFrame, learn: Column, per_language: int = 400, texts: int = 16_000, text_bytes: int = 1_000_000) -> Model:
+    """Learn from about per_language whole texts of each language, or as many as make texts in all.
 
-    The sample is bounded: ids are drawn by their hash at a rate for each language that
-    gives per_language texts, and at most twice as many in all are ever taken.
+    The sample is bounded: texts of at most text_bytes are drawn by a hash of id and text at a
+    rate for each language, and of those the texts with the smallest hashes are taken, so the
+    same ones however the table is partitioned. Tasks count their n-grams; what goes to the
+    driver is a row of counts for each, and the sizes of the languages.
     """
-    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= text_bytes))
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
-        return train([], [])
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1_000_000))
-    rate = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], int(1e6 * per_language / r["count"]) + 1)])
-    rows = (
-        labelled.where(draw < rate[F.col("lang")])
-        .select(utf8("text").alias("body"), "lang")
-        .limit(2 * per_language * len(sizes))
-        .collect()
-    )
-    return train([bytes(r["body"]) for r in rows], [r["lang"] for r in rows])
+        return train(np.zeros((0, DIMS), np.float32), [])
+    each = min(per_language, max(1, texts // len(sizes)))
+    rates = docs.sparkSession.createDataFrame([(k, int(1e9 * each / n) + 1) for k, n in sizes.items()], "lang string, rate long")
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("langid")), F.lit(1_000_000_000))
+    rows = labelled.select(utf8("text").alias("body"), "lang", draw.alias("draw")).join(F.broadcast(rates), "lang").where("draw < rate")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = features(batch.column("body").to_pylist())
+            packed = [x.tobytes() for x in found.astype(np.float16)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(packed, pa.binary())], ["lang", "shares"])
+
+    bound_batches(docs.sparkSession)
+    sample = drawn(rows.select("body", "lang", "draw"), F.col("draw"), min(2 * each * len(sizes), 2 * texts)).select("body", "lang")
+    found = sorted((r["lang"], bytes(r["shares"])) for r in sample.mapInArrow(count, "lang string, shares binary").collect())
+    return train(np.array([np.frombuffer(x, np.float16) for _, x in found], np.float32).reshape(-1, DIMS), [x for x, _ in found])
 
 
 def attach(docs: DataFrame, model: Model, gap: float = 0.15) -> DataFrame:
@@ -140,7 +150,9 @@ def attach(docs: DataFrame, model: Model, gap: float = 0.15) -> DataFrame:
     lang_pred is ``und`` with score 0 for a null text, one without any letter, or when no
     language was learned; score is the decoder's probability of the chosen codeword.
     ambiguous marks texts whose second codeword is within gap of the first in mean loss.
-    The whole text counts, however long; repeated rows are repeated in the result.
+    The whole text counts, however long; repeated rows are repeated in the result, null ids
+    are kept, and an empty table gives an empty result. All columns stay inside row, so
+    their names cannot clash.
     """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

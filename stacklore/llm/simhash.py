@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, utf8
+from .common import bound_batches, cut, join_hot, utf8
 from .components import connected_components
 
 BITS = 64
@@ -187,10 +187,10 @@ def near_duplicates(
     prints = cut(fingerprints(docs, id_column, text, words))
     roots = connected_components(links(prints, radius)).select(F.col("node").alias("fp"), "root")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = cut(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     component = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(component, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
+    named = cut(join_hot(classes, component, "root").select("fp", "component_id"))
+    return join_hot(prints, named, "fp").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
