@@ -1,10 +1,14 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
-Token weights of the cells (source, language, topic) are raked until their sums match the
-target share of every source, language and topic. A document is then kept with a
-probability that makes the expected tokens of its cell proportional to the raked weight,
-scaled ("calibrated") so that all cells together give the wanted number of tokens although
-no probability exceeds 1.
+A cell (source, language, topic) weighs as many tokens as are wanted of it. Weights are
+raked: scaled, one margin after the other, until their sums match the tokens wanted of
+every source, language and topic. No cell can give more tokens than it has, so each step
+also holds the weights at that bound, and the other cells make up for it in the next. A
+document is then kept with the probability weight / tokens of its cell, which makes the
+expected tokens of the cell, and so of all margins, equal to what was raked.
+
+What is wanted of a value is its share of the target, or all its tokens if these are
+fewer; the other values then share the rest in proportion.
 """
 
 from __future__ import annotations
@@ -35,12 +39,11 @@ def default_topic() -> Column:
 
 @dataclass(frozen=True)
 class Plan:
-    """fraction of all tokens wanted; exponent < 1 flattens the shares that become targets."""
+    """fraction (0 to 1) of all tokens wanted; exponent < 1 flattens the shares that become targets."""
 
     fraction: float = 0.5
     exponent: float = 0.7
-    rounds: int = 10
-    calibrations: int = 8
+    rounds: int = 20
     seed: str = "mix"
 
 
@@ -58,31 +61,46 @@ def keyed(docs: DataFrame, topic: Column | None, seed: str) -> DataFrame:
     )
 
 
-def targets(cells: DataFrame, margin: str, exponent: float) -> DataFrame:
-    """(value, target): share of each value of a margin, flattened by exponent."""
-    sums = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("t").alias("t")).where("t > 0")
-    whole = sums.agg(F.sum(F.pow(F.col("t").cast("double"), exponent)).alias("whole"))
-    return sums.crossJoin(F.broadcast(whole)).select(
-        "value", (F.pow(F.col("t").cast("double"), exponent) / F.col("whole")).alias("target")
+def targets(cells: DataFrame, margin: str, plan: Plan, wanted: DataFrame | None = None) -> DataFrame:
+    """(value, target): tokens wanted of each value of a margin; no more than it has, and plan.fraction of all together.
+
+    Shares are those of wanted (value, target), in which a value that is left out has none,
+    or else the tokens to the power of plan.exponent. Values that cannot give their share
+    give all they have; the running sums say for each value, in order of tokens by share,
+    what the values from it on would get if all before it gave theirs.
+    """
+    sums = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("t").cast("double").alias("t")).where("t > 0")
+    if wanted is None:
+        sums = sums.withColumn("x", F.pow("t", F.lit(plan.exponent)))
+    else:
+        sums = sums.join(wanted.select("value", F.col("target").cast("double").alias("x")), "value").where("x > 0")
+    order = Window.orderBy(F.col("t") / F.col("x"), "value")
+    whole = cells.agg((F.sum("t") * plan.fraction).alias("whole"))
+    rows = sums.crossJoin(F.broadcast(whole)).select(
+        "value", "t", "x",
+        F.greatest(F.col("whole") - F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("t"), F.lit(0.0)).alias("left"),
+        F.sum("x").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("rest"),
     )
+    rate = F.min(F.when(F.col("left") * F.col("x") <= F.col("t") * F.col("rest"), F.struct((F.col("t") / F.col("x")).alias("at"), "value", (F.col("left") / F.col("rest")).alias("rate"))))
+    rate = rows.agg(rate.alias("r")).select("r.rate")
+    return rows.crossJoin(F.broadcast(rate)).select("value", F.coalesce(F.least("t", F.col("rate") * F.col("x")), F.col("t")).alias("target"))
 
 
 def rake(cells: DataFrame, plan: Plan, wanted: dict[str, DataFrame] | None = None, small: int = SMALL_CELLS) -> DataFrame:
-    """cells (source, lang, topic, t) with column w, the raked share of tokens.
+    """cells (source, lang, topic, t) with column w, the expected tokens of each, at most t, and to_<margin>, the targets.
 
-    wanted may give (value, target) for a margin; a value that it leaves out gets none.
-    Cells without tokens have weight 0. Up to small cells are raked in one task, a window
-    for each step. More are aggregated and joined in all tasks, a checkpoint for each step,
-    so that a source with most of the cells is no bottleneck.
+    wanted may give (value, target) for a margin. Up to small cells are raked in one task, a
+    window for each step. More are aggregated and joined in all tasks, a checkpoint for
+    each step, so that a source with most of the cells is no bottleneck.
     """
-    now = cells.withColumn("w", F.col("t").cast("double"))
+    now = cells.withColumn("t", F.col("t").cast("double")).withColumn("w", F.col("t") * plan.fraction)
     for margin in MARGINS:
-        aim = (wanted or {}).get(margin, targets(cells, margin, plan.exponent))
+        aim = targets(cells, margin, plan, (wanted or {}).get(margin))
         aim = aim.select(F.col("value").alias(margin), F.col("target").alias(f"to_{margin}"))
         now = now.join(aim, margin, "left")
     now = cut(now)
     scaled = lambda margin, total: (
-        F.when(total > 0, F.col("w") * (F.coalesce(f"to_{margin}", F.lit(0.0)) / total)).otherwise(0.0)
+        F.when(total > 0, F.least("t", F.col("w") * (F.coalesce(f"to_{margin}", F.lit(0.0)) / total))).otherwise(0.0)
     )
     if now.count() <= small:
         for at in range(0, plan.rounds, 10):  # a longer chain of windows is more than a plan can hold
@@ -97,20 +115,23 @@ def rake(cells: DataFrame, plan: Plan, wanted: dict[str, DataFrame] | None = Non
     return now
 
 
-def calibrate(cells: DataFrame, plan: Plan) -> DataFrame:
-    """cells with p, the probability to keep a document: min(1, k * w / share of tokens).
+def margins(raked: DataFrame) -> DataFrame:
+    """(margin, value, tokens, target, expected) of raked cells: where expected falls short, the margins cannot all be met."""
+    each = [
+        raked.groupBy(F.col(m).alias("value")).agg(
+            F.sum("t").alias("tokens"), F.coalesce(F.max(f"to_{m}"), F.lit(0.0)).alias("target"), F.sum("w").alias("expected")
+        ).select(F.lit(m).alias("margin"), "*")
+        for m in MARGINS
+    ]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
-    k is found by fixed-point steps so that the expected tokens are plan.fraction of all;
-    cells without tokens keep their documents at that overall rate.
+
+def calibrate(raked: DataFrame, plan: Plan) -> DataFrame:
+    """p, the probability to keep a document of each raked cell: its expected tokens by its tokens.
+
+    Cells without tokens keep their documents at the overall rate.
     """
-    whole = cells.agg(F.sum("t").alias("t"), F.sum("w").alias("w")).first()
-    total, weight = float(whole["t"] or 0), float(whole["w"] or 0)
-    ratio = F.when(F.col("t") > 0, F.col("w") / weight * total / F.col("t")) if weight else F.lit(None).cast("double")
-    k = plan.fraction
-    for _ in range(plan.calibrations if weight else 0):
-        kept = cells.agg(F.sum(F.col("t") * F.least(F.lit(1.0), F.lit(k) * ratio)).alias("n")).first()["n"]
-        k = k * plan.fraction * total / kept
-    return cells.select(*MARGINS, F.coalesce(F.least(F.lit(1.0), F.lit(k) * ratio), F.lit(plan.fraction)).alias("p"))
+    return raked.select(*MARGINS, F.when(F.col("t") > 0, F.col("w") / F.col("t")).otherwise(plan.fraction).alias("p"))
 
 
 def mix(
@@ -149,31 +170,26 @@ def sql(plan: Plan = Plan()) -> str:
         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens,
         CAST(CAST('0x' || substr(md5('{plan.seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS draw
         FROM documents)""",
-        "c0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS t, CAST(sum(tokens) AS DOUBLE) AS w FROM d GROUP BY ALL)",
+        f"c0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS t, CAST(sum(tokens) AS DOUBLE) * {plan.fraction} AS w FROM d GROUP BY ALL)",
     ]
     for m in MARGINS:
+        links.append(f"s_{m} AS MATERIALIZED (SELECT {m}, sum(t) AS t, pow(sum(t), {plan.exponent}) AS x FROM c0 GROUP BY {m} HAVING sum(t) > 0)")
         links.append(
-            f"t_{m} AS MATERIALIZED (SELECT {m}, pow(sum(t), {plan.exponent}) / sum(pow(sum(t), {plan.exponent})) OVER () AS target FROM c0 GROUP BY {m} HAVING sum(t) > 0)"
+            f"b_{m} AS MATERIALIZED (SELECT {m}, t, x, greatest((SELECT sum(t) * {plan.fraction} FROM c0) - sum(t) OVER (ORDER BY t / x, {m} ROWS UNBOUNDED PRECEDING) + t, 0) AS rest, "
+            f"sum(x) OVER (ORDER BY t / x, {m} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS xs FROM s_{m})"
+        )
+        links.append(
+            f"t_{m} AS MATERIALIZED (SELECT {m}, coalesce(least(t, x * (SELECT rest / xs FROM b_{m} WHERE rest * x <= t * xs ORDER BY t / x, {m} LIMIT 1)), t) AS target FROM b_{m})"
         )
     n = 0
     for _ in range(plan.rounds):
         for m in MARGINS:
             n += 1
             links.append(
-                f"c{n} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.t, CASE WHEN s.s > 0 THEN c.w * (coalesce(t.target, 0) / s.s) ELSE 0 END AS w "
+                f"c{n} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.t, CASE WHEN s.s > 0 THEN least(c.t, c.w * (coalesce(t.target, 0) / s.s)) ELSE 0 END AS w "
                 f"FROM c{n - 1} c JOIN (SELECT {m}, sum(w) AS s FROM c{n - 1} GROUP BY {m}) s ON c.{m} = s.{m} LEFT JOIN t_{m} t ON c.{m} = t.{m})"
             )
-    links.append(
-        f"r AS MATERIALIZED (SELECT source, lang, topic, t, CASE WHEN t > 0 THEN w / sum(w) OVER () * sum(t) OVER () / t END AS ratio, sum(t) OVER () AS total FROM c{n})"
-    )
-    links.append(f"k0 AS (SELECT CAST({plan.fraction} AS DOUBLE) AS k)")
-    for i in range(plan.calibrations):
-        links.append(
-            f"k{i + 1} AS MATERIALIZED (SELECT any_value(k) * {plan.fraction} * any_value(total) / sum(t * least(1.0, k * ratio)) AS k FROM r, k{i})"
-        )
-    links.append(
-        f"p AS (SELECT source, lang, topic, coalesce(least(CAST(1.0 AS DOUBLE), k * ratio), {plan.fraction}) AS p FROM r, k{plan.calibrations})"
-    )
+    links.append(f"p AS (SELECT source, lang, topic, CASE WHEN t > 0 THEN w / t ELSE {plan.fraction} END AS p FROM c{n})")
     return (
         "WITH " + ",\n".join(links) + """
 SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, round(CAST(p.p AS DOUBLE), 9) AS probability, d.draw < p.p AS sampled

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, utf8
+from .common import bound_batches, drawn, utf8
 
 #: filters, bytes a filter sees, bytes in a chunk, bytes from one chunk to the next
 FILTERS, WIDTH, CHUNK, STRIDE = 8, 6, 256, 224
@@ -150,14 +150,12 @@ def train(
     return net
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, learn: Column, documents: int = 2500, chunks_each: int = 12
-) -> Network:
-    """Learn from a bounded sample of labelled rows that satisfy learn.
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, documents: int = 2500, text_bytes: int = 1_000_000) -> Network:
+    """Learn from a bounded sample of labelled rows that satisfy learn, each with its whole text.
 
-    About documents rows of each label are drawn by a hash of their id (never more than
-    twice as many), and of a document with more than chunks_each chunks as many are
-    taken, evenly from its start to its end.
+    About documents rows of each label are drawn by a hash of their id, of those whose text
+    has at most text_bytes; never more than twice as many, and then those with the smallest
+    hashes of id and text, so the same rows however the tables are partitioned.
     """
     marked = (
         labels.where(learn & F.col("quality").isin(0, 1))
@@ -167,35 +165,21 @@ def fit(
     sizes = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality")), F.lit(1_000_000))
     rate = [int(1e6 * documents / sizes[k]) + 1 if k in sizes else 0 for k in (0, 1)]
-    drawn = marked.where(draw < F.when(F.col("quality") == 1, rate[1]).otherwise(rate[0])).limit(4 * documents)
-
-    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for body in batch["body"]:
-                n = pieces(len(body))
-                nth = range(n) if n <= chunks_each else np.linspace(0, n - 1, chunks_each).astype(int)
-                rows.append([body[i * STRIDE : i * STRIDE + CHUNK] for i in nth])
-            yield pd.DataFrame({"quality": batch["quality"], "chunks": rows})
-
-    bound_batches(docs.sparkSession)
-    rows = (
-        docs.select("doc_id", utf8("text").alias("body"))
-        .join(F.broadcast(drawn), "doc_id")
-        .select("body", "quality")
-        .mapInPandas(some, "quality int, chunks array<binary>")
-        .limit(4 * documents)
-        .collect()
-    )
-    rows.sort(key=lambda r: (r["quality"], [bytes(c) for c in r["chunks"]]))
-    return train([[bytes(c) for c in r["chunks"]] for r in rows], np.array([r["quality"] for r in rows], np.int64))
+    wanted = marked.where(draw < F.when(F.col("quality") == 1, rate[1]).otherwise(rate[0])).orderBy(draw, "doc_id").limit(4 * documents)
+    found = docs.select("doc_id", utf8("text").alias("body")).where(F.octet_length("body") <= text_bytes).join(F.broadcast(wanted), "doc_id")
+    rows = drawn(found.select("body", "quality", F.xxhash64("doc_id", "body").alias("draw")), F.col("draw"), 4 * documents).select("quality", "body").collect()
+    taken = sorted((r["quality"], bytes(r["body"])) for r in rows)
+    bodies = [[x[i * STRIDE : i * STRIDE + CHUNK] for i in range(pieces(len(x)))] for _, x in taken]
+    return train(bodies, np.array([y for y, _ in taken], np.int64))
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:
     """(doc_id, score) for every row of docs, from its whole text alone.
 
-    Null and empty texts score as one chunk of padding. Repeated rows are repeated in
-    the result, null ids are kept, and an empty table gives an empty result.
+    Null and empty texts score as one chunk of padding; a very long text is scored in all
+    its chunks, some at a time. Repeated rows are repeated in the result, null ids are
+    kept, and an empty table gives an empty result. Other columns are not read, so their
+    names cannot clash.
     """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(network)

@@ -54,9 +54,10 @@ def test_mixing_is_sql(spark, none, odd):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{BIG}/documents.parquet'")
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
-    want = {r[0]: (round(r[1], 6), r[2]) for r in c.sql(f"SELECT doc_id, probability, sampled FROM ({mixing.sql()})").fetchall()}
+    want = {r[0]: (r[1], r[2]) for r in c.sql(f"SELECT doc_id, probability, sampled FROM ({mixing.sql()})").fetchall()}
     rows = mixing.mix(docs).collect()
-    assert {r.doc_id: (round(r.probability, 6), r.sampled) for r in rows} == want
+    assert {r.doc_id: r.sampled for r in rows} == {i: x for i, (_, x) in want.items()}
+    assert all(abs(r.probability - want[r.doc_id][0]) < 1e-8 for r in rows)  # the SQL rounds to 9 digits
     total, kept = sum(r.tokens for r in rows), sum(r.tokens * r.probability for r in rows)
     assert abs(kept / total - 0.5) < 0.01
     odds = mixing.mix(odd).collect()
@@ -71,13 +72,35 @@ def test_raking_meets_the_margins_both_ways(spark):
     plan = mixing.Plan(rounds=20)
     for small in (100, 0):
         got = mixing.rake(cells, plan, wanted, small=small).groupBy("source").agg(F.sum("w").alias("w"))
-        shares = {r.source: r.w for r in got.collect()}
+        whole = plan.fraction * sum(r[3] for r in full)
+        shares = {r.source: r.w / whole for r in got.collect()}
         assert shares["c"] == 0 and abs(shares["a"] - 0.2) < 1e-3 and abs(shares["b"] - 0.8) < 1e-3
         if small:
             first = shares
     assert {k: round(v, 9) for k, v in first.items()} == {k: round(v, 9) for k, v in shares.items()}
 
 
+def test_expected_tokens_meet_every_margin_with_no_probability_above_one(spark):
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    cells = mixing.keyed(docs, None, "mix").groupBy(*mixing.MARGINS).agg(F.sum("tokens").alias("t"))
+    for fraction, rounds, near in ((0.5, 20, 5e-3), (0.5, 60, 1e-3)):
+        found = mixing.margins(mixing.rake(cells, mixing.Plan(fraction=fraction, rounds=rounds))).collect()
+        assert all(r.expected <= r.tokens * (1 + 1e-9) and abs(r.expected - r.target) < near * r.target for r in found)
+        for m in mixing.MARGINS:
+            own = [r for r in found if r.margin == m]
+            assert abs(sum(r.target for r in own) / sum(r.tokens for r in own) - fraction) < 1e-9
+            # flattened shares, but for values that give all they have
+            free = [r for r in own if r.target < r.tokens * (1 - 1e-9)]
+            rates = [r.target / r.tokens**0.7 for r in free]
+            assert max(rates) - min(rates) < 1e-6 * max(rates) and all(r.tokens / r.tokens**0.7 <= max(rates) * (1 + 1e-9) for r in own if r not in free)
+
+
+def test_nothing_and_everything_can_be_wanted(spark, odd):
+    none = mixing.mix(odd, mixing.Plan(fraction=0.0)).collect()
+    assert len(none) == odd.count() and not any(r.sampled for r in none)
+    assert all(r.sampled for r in mixing.mix(odd, mixing.Plan(fraction=1.0)).collect() if r.tokens)
+
+
 def test_language_held_out(spark, odd, none):
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
     model = langid.fit(docs, outside_fold("doc_id", 4, 2), per_language=60)
