@@ -29,7 +29,7 @@ def idf(n: int, df: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """BM25 inverted index of one shard over token ids.
+    """BM25 inverted index of one shard over token ids: each term's postings, as a full row where an eighth of the documents have it.
 
     known is (documents, mean length, df of each id) of all shards; without it those of these documents are used.
     """
@@ -48,20 +48,33 @@ class Index:
         weight = rare[term] * tf * (K1 + 1) / (tf + length[doc])
         # terms in one document of the shard lead nowhere in it; common are only dropped where a caller says so
         useful = (df[term] > 1) & (df[term] <= max(2, common * n))
-        # ordered by document: its terms are the seed's query, and its postings are summed at once
         self.docs, self.terms, self.weights = doc[useful], term[useful], weight[useful]
+        # by document: its terms are the seed's query
         self.bounds = np.searchsorted(self.docs, np.arange(n + 1))
-        self.asked = np.zeros(len(df), bool)
+        # by term: postings, those of a term in many documents as a row with a place for each document
+        self.row = np.full(len(df), -1)
+        many = np.flatnonzero((df * 8 > n) & (df > 1) & (df <= max(2, common * n)))
+        self.row[many] = np.arange(len(many))
+        self.rows = np.zeros((len(many), n))
+        wide = self.row[self.terms] >= 0
+        self.rows[self.row[self.terms[wide]], self.docs[wide]] = self.weights[wide]
+        order = np.argsort(self.terms[~wide], kind="stable")
+        self.posted, self.posted_weights = self.docs[~wide][order], self.weights[~wide][order]
+        self.posting = np.searchsorted(self.terms[~wide][order], np.arange(len(df) + 1))
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share one of the seed's terms, best score over all of them first, ties in order."""
         own = self.terms[self.bounds[seed] : self.bounds[seed + 1]]
         if not len(own):
             return own
-        self.asked[own] = True
-        hit = self.asked[self.terms]
-        self.asked[own] = False
-        score = np.bincount(self.docs, self.weights * hit, len(used))
+        rows = self.row[own]
+        narrow = own[rows < 0]
+        begin, n = self.posting[narrow], np.diff(self.posting)[narrow]
+        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        asked = np.zeros(len(self.rows))
+        asked[rows[rows >= 0]] = 1
+        score = asked @ self.rows + np.bincount(self.posted[at], self.posted_weights[at], len(used))
+        score = np.round(score, 9)  # copies tie, in whatever order their sums were made
         found = np.flatnonzero((score > 0) & ~used)
         return found[np.argsort(-score[found], kind="stable")]
 
@@ -194,7 +207,10 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, shard_bytes: int
     A document is the ids of its whole text and end_id; a null or empty text is end_id
     alone. Every id lies in one piece. Sequences are full but for the last of each shard,
     whose rest is split into powers of two. Rows with an equal id are packed as so many
-    documents; null ids are kept. An empty table gives an empty result.
+    documents; null ids are kept. A very long text is one document of its shard and goes on
+    over as many sequences as it fills. Neighbours with equal scores come in the order of
+    their ids (null last). An empty table gives an empty result; other columns are not read,
+    so their names cannot clash.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows, known = dealt(docs, end_id, shard_bytes)
