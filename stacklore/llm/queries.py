@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm, mixing, multiset_hash, packing, quality, simhash, suffix_dedup, token_counts, topk
-from .common import in_fold, outside_fold, table
+from . import hard_negatives, langid, lm, mixing, multiset_hash, packing, quality, simhash, suffix_dedup, token_counts, token_files, topk, whitening
+from .common import in_fold, outside_fold, shared_folder, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +67,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    return token_files.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=2)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -108,4 +125,4 @@ FROM d LEFT JOIN u ON d.doc_id = u.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.sql(), "op5_topk": OP5_SQL, "op6_suffix_dedup": OP6_SQL}
+    return {"op2_mixing": mixing.sql(), "op5_topk": OP5_SQL, "op6_suffix_dedup": OP6_SQL, "op12_hard_negatives": hard_negatives.sql()}
