@@ -17,9 +17,9 @@ documents there are.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,16 +35,17 @@ SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<i8"), ("offset", "<i8"), ("
 #: documents and keys that one shard and one bucket of the index hold at most
 MOST_DOCUMENTS, BUCKET = 262_144, 65_536
 #: words whose ids a worker keeps, and the longest word that it keeps
-KEPT_WORDS, LONGEST = 300_000, 64
+KEPT_WORDS, LONGEST = 600_000, 64
 
 
-class Encoder:
-    """Ids of whole texts as ``tokenizers`` gives them, each distinct word encoded once.
+class Encoder(dict):
+    """Ids of whole texts as ``tokenizers`` gives them, each distinct word encoded once while there is room for it.
 
     The vocabulary's words never reach over white space, so the ids of a text are those of
-    its parts between blanks and line breaks, one after the other. Parts are kept while there is
-    room; the letters of a plain word and the marks after it are words of their own to the
-    vocabulary, so they are kept apart.
+    its parts between blanks and line breaks, one after the other. The letters of a plain
+    word and the marks after it are words of their own; small letters need no normalizing,
+    so the model itself encodes them. Texts of ASCII are made small as a whole, which the
+    vocabulary does anyway, unless they could hold the name of a special token.
     """
 
     _plain = re.compile(r"([A-Za-z]+)([.,;:!?]*)").fullmatch
@@ -52,46 +53,47 @@ class Encoder:
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(model)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
-
-    def _encoded(self, words: list[str]) -> Iterator[bytes]:
-        for found in self.tokenizer.encode_batch(words, add_special_tokens=False):
-            yield self._bytes(found.ids)
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Keep the ids of short words; those of long ones are returned."""
-        plain = {w: m for w in words if len(w) <= LONGEST and (m := self._plain(w))}
-        pairs = {w: (m[1].lower(), m[2]) for w, m in plain.items()}
-        new = [w for w in set(chain.from_iterable(pairs.values())) if w not in self.parts]
-        self.parts.update(zip(new, self._encoded(new), strict=True))
-        self.known.update((w, self.parts[a] + self.parts[b]) for w, (a, b) in pairs.items())
-        others = [w for w in words if w not in pairs]
-        found = dict(zip(others, self._encoded(others), strict=True))
-        self.known.update((w, b) for w, b in found.items() if len(w) <= LONGEST)
-        return {w: b for w, b in found.items() if len(w) > LONGEST}
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
+        self.letters = _Letters(self.tokenizer.model, self.code)
+
+    def _whole(self, word: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > LONGEST:
+            return self._whole(word)
+        plain = self._plain(word)
+        found = self.letters[plain[1].lower()] + (self[plain[2]] if plain[2] else b"") if plain else self._whole(word)
+        self[word] = found
+        return found
 
     def encode_batch(self, texts: list[str], end: int) -> list[bytes]:
-        for kept in (self.known, self.parts):
+        for kept in (self, self.letters):
             if len(kept) > KEPT_WORDS:
                 kept.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.known)
-        long = self._learn(new) if new else {}
-        last, known, out = self._bytes([end]), self.known, []
-        for words in split:
-            try:
-                out.append(b"".join(map(known.__getitem__, words)) + last)
-            except KeyError:
-                out.append(b"".join([long[w] if w in long else known[w] for w in words]) + last)
+        last, out = array(self.code, [end]).tobytes(), []
+        for text in texts:
+            if text.isascii() and "<|" not in text:
+                text = text.lower()
+            out.append(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) + last)
         return out
 
 
+class _Letters(dict):
+    """Ids of words of small ASCII letters."""
+
+    def __init__(self, model, code: str):
+        super().__init__()
+        self.model, self.code = model, code
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+        return found
+
+
 @lru_cache(2)
 def _encoder(model: str) -> Encoder:
     import os
@@ -111,34 +113,22 @@ def _together(rows: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("known"), F.col("id")).alias("doc_id"), *others)
 
 
-def encode(docs: DataFrame, model: str, end: int, text: str = "text") -> DataFrame:
-    """(doc_id, place, n, ids): ids of every text (null: empty) and the end id, in bytes; place tells rows apart."""
-    bound_batches(docs.sparkSession)
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(model)
-        for batch in batches:
-            ids = encoder.encode_batch(batch["body"].tolist(), end)
-            yield pd.DataFrame({"known": batch["known"], "id": batch["id"], "n": [len(x) // encoder.width for x in ids], "ids": ids})
-
-    rows = _apart(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("body")))
-    return _together(rows.mapInPandas(of, "known boolean, id long, n long, ids binary")).withColumn("place", F.monotonically_increasing_id())
-
-
-def write(docs: DataFrame, path: str, model: str, end: int, text: str = "text", shard_bytes: int = 8 << 20) -> None:
+def write(docs: DataFrame, path: str, model: str, end: int, text: str = "text", shard_bytes: int = 8 << 20, task_bytes: int = 48 << 20) -> None:
     """Write the ids of all documents to shards of about shard_bytes below path, in ascending order of doc_id.
 
     Null ids come last, rows with an equal id stand together, each whole. A text that is null
     or empty has the end id alone. A document of more than shard_bytes has a shard of its own,
     whole. An empty table writes no shard; columns other than doc_id and text play no part.
+    docs should be read from a table, so that a task that runs again sees its rows in the same order.
     """
-    encoded = stored(encode(docs, model, end, text))  # place is a number of the stored row from now on
-    width = _encoder(model).width
-    whole = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    order = (F.col("doc_id").asc_nulls_last(), F.col("place"))
-    laid = encoded.repartitionByRange(max(1, -(-whole // (4 * shard_bytes))), *order).sortWithinPartitions(*order)
+    bound_batches(docs.sparkSession)
+    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("body"))
+    whole = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    rows = _apart(rows).withColumn("place", F.monotonically_increasing_id())
+    order = (F.col("known").desc(), F.col("id"), F.col("place"))
+    laid = rows.repartitionByRange(max(1, -(-whole // task_bytes)), *order).sortWithinPartitions(*order)
 
-    def shard(ids: list[tuple[bool, int]], bodies: list[bytes]) -> bytes:
+    def shard(ids: list[tuple[bool, int]], bodies: list[bytes], width: int) -> bytes:
         entries = np.zeros(len(ids), ENTRY)
         entries["known"], entries["id"] = zip(*ids, strict=True)
         entries["n"] = [len(b) // width for b in bodies]
@@ -146,43 +136,79 @@ def write(docs: DataFrame, path: str, model: str, end: int, text: str = "text",
         return b"".join([head.ljust(HEADER), entries.tobytes(), *bodies])
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, bodies, size = [], [], 0
+        encoder, ids, bodies, size = _encoder(model), [], [], 0
         for batch in batches:
-            for known, doc_id, body in zip(batch["known"], batch["id"], batch["ids"], strict=True):
+            encoded = encoder.encode_batch(batch["body"].tolist(), end)
+            for known, doc_id, body in zip(batch["known"], batch["id"], encoded, strict=True):
                 if bodies and (size + len(body) > shard_bytes or len(bodies) == MOST_DOCUMENTS):
-                    yield pd.DataFrame({"body": [shard(ids, bodies)]})
+                    yield pd.DataFrame({"body": [shard(ids, bodies, encoder.width)]})
                     ids, bodies, size = [], [], 0
                 ids.append((known, doc_id))
-                bodies.append(bytes(body))
+                bodies.append(body)
                 size += len(body)
         if bodies:
-            yield pd.DataFrame({"body": [shard(ids, bodies)]})
+            yield pd.DataFrame({"body": [shard(ids, bodies, encoder.width)]})
 
-    files = _apart(laid.select("doc_id", "ids")).mapInPandas(shards, "body binary").select(F.col("body").cast("string").alias("value"))
+    files = laid.select("known", "id", "body").mapInPandas(shards, "body binary").select(F.col("body").cast("string").alias("value"))
     files.write.option("maxRecordsPerFile", 1).text(path)
 
 
+def _opened(path: str):
+    """A file that can be read in part, wherever the task runs."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path)
+    return system.open_input_file(at)
+
+
+def _in_parts(path: str) -> bool:
+    """Whether tasks can read parts of files in such a place; else Spark reads them whole."""
+    from pyarrow import ArrowInvalid, fs
+
+    try:
+        fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"/{path}")
+    except (ArrowInvalid, OSError, NotImplementedError):
+        return False
+    return True
+
+
 def contents(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, content) of every file."""
+    """(shard, path, content) of every file; content is read only where it is asked for."""
     files = spark.read.format("binaryFile").load(path).where("length > 0")
     part = lambda pattern: F.regexp_extract("path", pattern, 1).cast("long")
-    return files.select((part(r"/part-(\d+)-") * FILES_OF_TASK + part(r"-c(\d+)[^/]*$")).alias("shard"), "content")
+    name = F.regexp_replace("path", "^file:/+", "file:///")
+    return files.select((part(r"/part-(\d+)-") * FILES_OF_TASK + part(r"-c(\d+)[^/]*$")).alias("shard"), name.alias("path"), "content")
+
+
+def _directory(content: bytes) -> tuple[int, int, int]:
+    """Bytes of an id, documents and ids, as a header says."""
+    return int(content[8:10]), int(content[10:22]), int(content[22:38])
 
 
 def shards(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, first, n_documents, n_tokens, entries): each shard's directory, and the ids before it in all others."""
-    number = lambda at, size: F.trim(F.substring("content", at, size).cast("string")).cast("long")
-    n = number(11, 12)
-    rows = contents(spark, path).select(
-        "shard", n.alias("n_documents"), number(23, 16).alias("n_tokens"),
-        F.substring(F.col("content"), F.lit(HEADER + 1), (n * ENTRY.itemsize).cast("int")).alias("entries"),
-    )
+    """(shard, path, first, n_documents, n_tokens, entries): each shard's directory, and the number of ids in all shards before it."""
+    in_parts = _in_parts(path)
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if in_parts:
+                    with _opened(row.path) as file:
+                        _, n, tokens = _directory(file.read(HEADER))
+                        entries = file.read(n * ENTRY.itemsize)
+                else:
+                    _, n, tokens = _directory(row.content)
+                    entries = row.content[HEADER : HEADER + n * ENTRY.itemsize]
+                yield pd.DataFrame({"shard": [row.shard], "path": row.path, "n_documents": n, "n_tokens": tokens, "entries": [entries]})
+
+    files = contents(spark, path)
+    rows = (files.drop("content") if in_parts else files).mapInPandas(of, "shard long, path string, n_documents long, n_tokens long, entries binary")
     rows = stored(rows.withColumn("task", F.floor(F.col("shard") / FILES_OF_TASK)))
     # a row for each task that wrote files; the sums below are of one task's files
     tasks = rows.groupBy("task").agg(F.sum("n_tokens").alias("n"))
     before = tasks.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
     own = F.sum("n_tokens").over(Window.partitionBy("task").orderBy("shard")) - F.col("n_tokens")
-    return rows.join(before, "task").select("shard", (F.col("before") + own).alias("first"), "n_documents", "n_tokens", "entries")
+    return rows.join(before, "task").select("shard", "path", (F.col("before") + own).alias("first"), "n_documents", "n_tokens", "entries")
 
 
 def places(directory: DataFrame) -> DataFrame:
@@ -258,32 +284,47 @@ def locate(keys: DataFrame, index: DataFrame) -> DataFrame:
     return _together(found)
 
 
-def read(found: DataFrame, path: str) -> DataFrame:
-    """(doc_id, copy, shard, offset, n, ids) of what locate found: ids as little-endian unsigned 32-bit integers."""
+def read(found: DataFrame, directory: DataFrame) -> DataFrame:
+    """(doc_id, copy, start, n, ids) of what locate found: the ids before the document, and its own as little-endian unsigned 32-bit integers.
 
-    def of(asked: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
+    A task opens a shard once and reads the runs that are asked for; where files cannot be
+    read in part, Spark hands it the whole shard.
+    """
+    spark = found.sparkSession
+    one = directory.select("path").first()
+    kind = "known boolean, id long, copy long, start long, n long, ids binary"
+    columns = ["known", "id", "copy", "start", "n", "ids"]
+    asked = _apart(found.join(directory.select("shard", "path", "first"), "shard"))
+
+    def runs(asked: pd.DataFrame, run) -> pd.DataFrame:
+        width, n, _ = _directory(run(0, HEADER))
+        at = HEADER + n * ENTRY.itemsize
+        each = [np.frombuffer(run(at + o * width, n * width), f"<u{width}") for o, n in zip(asked["offset"], asked["n"], strict=True)]
+        return asked.assign(start=asked["first"] + asked["offset"], ids=[x.astype("<u4").tobytes() for x in each])[columns]
+
+    def in_parts(asked: pd.DataFrame) -> pd.DataFrame:
+        asked = asked.sort_values("offset")
+        with _opened(asked["path"].iloc[0]) as file:
+            return runs(asked, lambda at, n: file.read_at(n, at))
+
+    def whole(asked: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(files):
-            return asked.iloc[:0].assign(ids=[])
+            return asked.iloc[:0].assign(start=0, ids=[])[columns]
         content = files["content"].iloc[0]
-        width, n = int(content[8:10]), int(content[10:22])
-        at = HEADER + n * ENTRY.itemsize
-        each = [np.frombuffer(content, f"<u{width}", n, at + offset * width) for offset, n in zip(asked["offset"], asked["n"], strict=True)]
-        return asked.assign(ids=[x.astype("<u4").tobytes() for x in each])
+        return runs(asked, lambda at, n: content[at : at + n])
 
-    files = contents(found.sparkSession, path)
-    got = _apart(found).groupBy("shard").cogroup(files.groupBy("shard"))
-    return _together(got.applyInPandas(of, "known boolean, id long, copy long, shard long, offset long, n long, ids binary"))
+    if one is None or _in_parts(one["path"]):
+        return _together(asked.groupBy("shard").applyInPandas(in_parts, kind))
+    files = contents(spark, one["path"].rsplit("/", 1)[0]).select("shard", "content")
+    return _together(asked.groupBy("shard").cogroup(files.groupBy("shard")).applyInPandas(whole, kind))
 
 
-def get(index: DataFrame, path: str, doc_id: int | None, copy: int = 0) -> list[int] | None:
-    """Ids of one document, from one bucket of the index and one file; None if there is no such document."""
+def get(index: DataFrame, directory: DataFrame, doc_id: int | None, copy: int = 0) -> list[int] | None:
+    """Ids of one document, from one bucket of the index and one run of a file; None if there is no such document."""
     spark = index.sparkSession
     key = spark.createDataFrame([(doc_id, copy)], "doc_id long, copy long")
-    place = locate(key, index).first()
-    if place is None:
-        return None
-    row = read(spark.createDataFrame([place], "doc_id long, copy long, shard long, offset long, n long"), path).first()
-    return np.frombuffer(row["ids"], "<u4").tolist()
+    row = read(locate(key, index), directory).first()
+    return None if row is None else np.frombuffer(row["ids"], "<u4").tolist()
 
 
 def keys_of(docs: DataFrame, most: int = 65_536) -> DataFrame:
@@ -304,7 +345,5 @@ def round_trip(docs: DataFrame, path: str, model: str, end: int) -> DataFrame:
     write(docs, path, model, end)
     directory = stored(shards(spark, path))
     index = stored(build_index(directory))
-    back = read(locate(keys_of(docs), index), path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return back.join(directory.select("shard", "first"), "shard").select(
-        "doc_id", (F.col("first") + F.col("offset")).alias("start"), F.col("n").alias("n_tokens"), "ids_crc32"
-    )
+    back = read(locate(keys_of(docs), index), directory)
+    return back.select("doc_id", "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
