@@ -43,12 +43,12 @@ class Encoder(dict):
 
     The vocabulary's words never reach over white space, so the ids of a text are those of
     its parts between blanks and line breaks, one after the other. The letters of a plain
-    word and the marks after it are words of their own; small letters need no normalizing,
-    so the model itself encodes them. Texts of ASCII are made small as a whole, which the
+    word and the marks after it are words of their own; small letters of Latin-1 need no
+    normalizing, so the model itself encodes them. Texts of ASCII are made small as a whole, which the
     vocabulary does anyway, unless they could hold the name of a special token.
     """
 
-    _plain = re.compile(r"([A-Za-z]+)([.,;:!?]*)").fullmatch
+    _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
@@ -83,14 +83,18 @@ class Encoder(dict):
 
 
 class _Letters(dict):
-    """Ids of words of small ASCII letters."""
+    """Ids of words of small letters of Latin-1."""
+
+    # how byte-level vocabularies write a byte: as itself if it can be seen, else as the next sign from 256 on
+    _written = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
     def __init__(self, model, code: str):
         super().__init__()
         self.model, self.code = model, code
 
     def __missing__(self, word: str) -> bytes:
-        found = self[word] = array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(self._written)
+        found = self[word] = array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
         return found
 
 

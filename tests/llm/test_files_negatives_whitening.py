@@ -62,7 +62,7 @@ def test_perfect_hash_refuses_repeated_keys():
 
 def test_encoder_equals_the_library():
     odd = ["", " ", "a  b\n\nc\t d", "Don't WE'LL o'clock", "x<|endoftext|>y <|startoftext|>", "é ́a  b c\x1cd", "ÀÉ İ ΑΣ ß", "漢字かな交じり" * 30, "word" * 500, "a.b,c;;;d!?", "...", "\u0000x", "foo.́"]
-    odd += ["<|ENDOFTEXT|> Plain", "plain Words, AND more;of THEM"]
+    odd += ["<|ENDOFTEXT|> Plain", "plain Words, AND more;of THEM", "Über ÀÉÎ, straße. ÿþ µm ªº ÐÞ×÷ " + "".join(map(chr, range(0xA0, 0x180))), " ".join(chr(c) + "x" for c in range(0xA0, 0x250))]
     encoder = token_files.Encoder(WORDS)
     width = np.dtype(f"<u{encoder.width}")
     for _ in range(2):  # the second time from what was kept
