@@ -11,6 +11,7 @@ candidates are dealt to blocks, and only the best rows of each block are shuffle
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: parts of the axes after which pairs are dropped, and pairs that are multiplied at once
-STEPS, PAIRS = (0.25, 0.5, 0.75), 1 << 16
+#: parts of the axes after which pairs are dropped, pairs that are multiplied at once, and pairs that are bounded at once
+STEPS, PAIRS, BOUNDED = (0.25, 0.5, 0.75), 1 << 16, 1 << 18
 
 
 def usable(vectors: DataFrame, label: Column, id_column: str, vector: str, scale: float) -> DataFrame:
@@ -73,6 +74,13 @@ class Rotated:
         # by how much a product along computed axes may miss the exact one, for vectors of length 1
         self.slack = 16 * max(1, d) ** 2 * 2.0**-53 + 2 * np.linalg.norm(axes.T @ axes - np.eye(d))
 
+    def part(self, own: slice) -> Rotated:
+        """Some of the rows."""
+        out = copy(self)
+        out.ids, out.labels, out.x, out.y, out.length = (v[own] for v in (self.ids, self.labels, self.x, self.y, self.length))
+        out.rest = [r[own] for r in self.rest]
+        return out
+
     def margins(self, other: Rotated, step: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return self.rest[step][i] * other.rest[step][j] * (1 + 1e-9) + self.slack * self.length[i] * other.length[j]
 
@@ -97,8 +105,19 @@ def best_in_range(a: Rotated, b: Rotated, allowed: np.ndarray, low: np.ndarray,
     """For each row i of a and each of its ranges r the k highest integer scores of allowed rows of b in [low, high].
 
     low and high have a row for each row of a and a column for each range; equal scores go
-    to the smaller id. Gives i, r, rows of b, scores, and the number of pairs worked out in integers.
+    to the smaller id. Gives i, r, rows of b, scores, and the number of pairs worked out in
+    integers. Rows of a go through a few at a time, so that memory does not depend on how many pairs stay.
     """
+    step, parts, pairs = max(1, BOUNDED // max(1, len(b.ids))), [], 0
+    for at in range(0, len(a.ids), step):
+        own = slice(at, at + step)
+        i, *rest, n = _best(a.part(own), b, allowed[own], low[own], high[own], k)
+        parts.append((i + at, *rest))
+        pairs += n
+    return *(np.concatenate(x) for x in zip(*parts, strict=True)), pairs
+
+
+def _best(a: Rotated, b: Rotated, allowed: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     ranges = low.shape[1]
     first = a.steps[0]
     partial = a.y[:, :first] @ b.y[:, :first].T
