@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: parts of the axes after which pairs are dropped, pairs that are multiplied at once, and pairs that are bounded at once
-STEPS, PAIRS, BOUNDED = (0.25, 0.5, 0.75), 1 << 16, 1 << 18
+#: pairs are bounded where these shares of the squared lengths are left on later axes
+LEFT = (0.05, 0.005)
+#: pairs that are multiplied at once, and pairs that are bounded at once
+PAIRS, BOUNDED = 1 << 16, 1 << 18
 
 
 def usable(vectors: DataFrame, label: Column, id_column: str, vector: str, scale: float) -> DataFrame:
@@ -38,8 +40,8 @@ def _stack(x: pd.Series, dims: int) -> np.ndarray:
     return np.array(x.tolist(), np.int64).reshape(len(x), dims)
 
 
-def rotations(rows: DataFrame) -> dict[int, np.ndarray]:
-    """For each number of dims, the principal axes of all rows as columns, the longest first."""
+def rotations(rows: DataFrame) -> dict[int, tuple[np.ndarray, list[int]]]:
+    """For each number of dims the principal axes of all rows as columns, the longest first, and after how many of them pairs are bounded."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
@@ -56,20 +58,26 @@ def rotations(rows: DataFrame) -> dict[int, np.ndarray]:
     for dims, own in cells.groupby("dims"):
         m = np.zeros((dims, dims))
         m[own["i"], own["j"]] = own["v"]
-        out[int(dims)] = np.linalg.eigh((m + m.T) / 2)[1][:, ::-1]
+        out[int(dims)] = axes_and_steps((m + m.T) / 2)
     return out
 
 
+def axes_and_steps(moments: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    values, axes = np.linalg.eigh(moments)
+    left = np.maximum(values, 0).cumsum()[::-1] / max(values.sum(), 1e-300)  # at i: on axis i and all later ones
+    return axes[:, ::-1], sorted({int((left > share).sum()) for share in LEFT} | {len(values)})
+
+
 class Rotated:
     """Vectors of a block along the axes, with the length of what is left after each step."""
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, x: np.ndarray, axes: np.ndarray):
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, x: np.ndarray, axes: np.ndarray, steps: list[int]):
         self.ids, self.labels, self.x = ids, labels, x
         d = x.shape[1]
-        self.steps = sorted({max(1, round(d * s)) for s in STEPS} | {d}) if d else [0]
         self.y = x.astype(np.float64) @ axes
         squares = np.cumsum(self.y[:, ::-1] ** 2, axis=1)[:, ::-1]
-        self.rest = [np.sqrt(squares[:, s]) if s < d else np.zeros(len(x)) for s in self.steps]
+        self.steps = steps
+        self.rest = [np.sqrt(squares[:, s]) if s < d else np.zeros(len(x)) for s in steps]
         self.length = np.sqrt((x.astype(np.float64) ** 2).sum(1))
         # by how much a product along computed axes may miss the exact one, for vectors of length 1
         self.slack = 16 * max(1, d) ** 2 * 2.0**-53 + 2 * np.linalg.norm(axes.T @ axes - np.eye(d))
@@ -122,17 +130,19 @@ def _best(a: Rotated, b: Rotated, allowed: np.ndarray, low: np.ndarray, high: np
     first = a.steps[0]
     partial = a.y[:, :first] @ b.y[:, :first].T
     margin = np.outer(a.rest[0], b.rest[0]) * (1 + 1e-9) + a.slack * np.outer(a.length, b.length)
-    found = []
-    for r in range(ranges):
-        upper, lower = partial + margin, partial - margin
-        lo, hi = low[:, r, None], high[:, r, None]
-        possible = allowed & (upper >= lo) & (lower <= hi)
-        sure = np.where(possible & (lower >= lo) & (upper <= hi), lower, -np.inf)
-        if sure.shape[1] >= k:
-            edge = np.partition(sure, sure.shape[1] - k, axis=1)[:, sure.shape[1] - k]
-            possible &= upper >= edge[:, None]
-        i, j = np.nonzero(possible)
-        found.append((i, np.full(len(i), r), j))
+    upper, lower = partial + margin, partial - margin
+    near, found = allowed & (upper >= low.min(axis=1, initial=np.inf)[:, None]), [(np.zeros(0, np.int64),) * 3]
+    for row in range(len(a.ids)):
+        columns = np.flatnonzero(near[row])
+        u, v = upper[row, columns], lower[row, columns]
+        for r in range(ranges):
+            lo, hi = low[row, r], high[row, r]
+            stays = (u >= lo) & (v <= hi)
+            sure = v[stays & (v >= lo) & (u <= hi)]
+            if len(sure) >= k:
+                stays &= u >= np.partition(sure, len(sure) - k)[len(sure) - k]
+            j = columns[stays]
+            found.append((np.full(len(j), row), np.full(len(j), r), j))
     i, r, j = (np.concatenate(x) for x in zip(*found, strict=True))
     pairs, own = np.unique(i * len(b.ids) + j, return_inverse=True)
     pi, pj = pairs // max(1, len(b.ids)), pairs % max(1, len(b.ids))
@@ -200,7 +210,7 @@ def mine(
 
     def block(part: pd.DataFrame) -> Rotated:
         dims = int(part["dims"].iloc[0])
-        return Rotated(part["vec_id"].to_numpy(), part["label"].to_numpy(), _stack(part["x"], dims), axes.get(dims, np.zeros((0, 0))))
+        return Rotated(part["vec_id"].to_numpy(), part["label"].to_numpy(), _stack(part["x"], dims), *axes.get(dims, (np.zeros((0, 0)), [0])))
 
     def sought(anchors: DataFrame):
         return anchors.withColumn("ab", deal(a_blocks, "a")).withColumn("cb", each(c_blocks)).groupBy("dims", "ab", "cb")

@@ -181,10 +181,11 @@ def test_bounds_drop_pairs_and_lose_none():
     r = np.random.default_rng(1)
     x = (r.normal(size=(900, 32)) * 0.7 ** np.arange(32) * 256).astype(np.int64) @ np.linalg.qr(r.normal(size=(32, 32)))[0]
     x = np.floor(x * 16).astype(np.int64)
-    axes = np.linalg.eigh((x.T @ x).astype(float))[1][:, ::-1]
+    axes, steps = hard_negatives.axes_and_steps((x.T @ x).astype(float))
+    assert len(steps) == 3 and steps[0] < 10
     ids = np.arange(900)
-    a = hard_negatives.Rotated(ids[:60], ids[:60], x[:60], axes)
-    b = hard_negatives.Rotated(ids, ids, x, axes)
+    a = hard_negatives.Rotated(ids[:60], ids[:60], x[:60], axes, steps)
+    b = hard_negatives.Rotated(ids, ids, x, axes, steps)
     every = np.full((60, 1), np.inf)
     i, _, j, scores, pairs = hard_negatives.best_in_range(a, b, ids[:60, None] != ids[None], -every, every, 5)
     full = x[:60] @ x.T
