@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import search
+from ..operators import search, sinks, vector_index
 from .registry import query, table
 
 _SIM = "1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
@@ -82,6 +82,60 @@ def vector_cells(spark, sf_dir):
     return search.assign_cells(store, centres).groupBy("cell").agg(F.count("*").alias("n"))
 
 
+_EXACT = f"""
+WITH r AS (SELECT q.vec_id AS query_id, a.vec_id AS id, round(CAST({_SIM} AS DOUBLE), 9) AS d
+  FROM embeddings a JOIN embeddings q ON a.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM r)"""
+
+
+def _indexed(spark, sf_dir, kind):
+    store = table(spark, sf_dir, "embeddings")
+    index = vector_index.train(store, kind)
+    return store, index, sinks.stored(vector_index.encode(store, index))
+
+
+@query()
+def vector_index_search(spark, sf_dir):
+    """The ten nearest rows by codes of pieces, for all rows whose vec_id is divisible by 100; probes and refine are calibrated."""
+    store, index, codes = _indexed(spark, sf_dir, "ivf-pq")
+    index = vector_index.calibrate(index, codes, store)
+    return vector_index.search(store.where("vec_id % 100 = 0"), codes, store, index, 10)
+
+
+@query(f"{_EXACT} SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS recall_met FROM n WHERE rank <= 10")
+def vector_index_recall(spark, sf_dir):
+    """Whether calibrated searches by each kind of code find at least 0.9 of what an exact search finds, for all rows whose vec_id is divisible by 100."""
+    store = table(spark, sf_dir, "embeddings")
+    asked = store.where("vec_id % 100 = 0")
+    exact = sinks.stored(search.top_k_batch(asked, store, 10))
+    met = []
+    for kind in vector_index.KINDS:
+        _, index, codes = _indexed(spark, sf_dir, kind)
+        index = vector_index.calibrate(index, codes, store)
+        met.append(vector_index.recall(vector_index.search(asked, codes, store, index, 10), exact) >= 0.9)
+    return exact.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("wanted"), F.lit(all(met)).alias("recall_met"))
+
+
+@query(f"{_EXACT} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(d, 6) AS distance FROM n WHERE rank <= 5")
+def vector_index_full(spark, sf_dir):
+    """With every cell probed and every code ranked again, an index gives the rows of an exact search."""
+    store, index, codes = _indexed(spark, sf_dir, "ivf-sq")
+    hits = vector_index.search(store.where("vec_id % 100 = 0"), codes, store, index, 5, probes=len(index.centres), refine=-(-store.count() // 5))
+    return hits.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
+
+
+@query("""
+SELECT count(*) AS rows, count(*) FILTER (WHERE vec_id % 3 <> 0) AS indexed, count(*) FILTER (WHERE vec_id % 3 = 0) AS unindexed, count(*) FILTER (WHERE vec_id % 3 <> 0 AND vec_id % 7 = 1) AS stale
+FROM embeddings""")
+def vector_index_status(spark, sf_dir):
+    """Rows of the table, of which two thirds were indexed; some were indexed under ids that are gone."""
+    store = table(spark, sf_dir, "embeddings")
+    old = store.where("vec_id % 3 <> 0")
+    gone = old.where("vec_id % 7 = 1").withColumn("vec_id", -1 - F.col("vec_id"))
+    index = vector_index.train(old, "ivf-sq")
+    return vector_index.status(store, vector_index.encode(old.unionByName(gone), index))
+
+
 @query("SELECT label, count(*) AS n, round(avg(list_aggregate(CAST(embedding AS DOUBLE[]), 'sum')), 6) AS mean_sum FROM embeddings GROUP BY label")
 def vector_stats(spark, sf_dir):
     total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
