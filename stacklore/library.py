@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import catalog, chunks, search, sequences, sinks, structure
+from .operators import catalog, chunks, search, sequences, sinks, structure, vector_index, versions
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,7 @@ class Profile:
         out = []
         if self.dim <= 0:
             out.append("dim must be positive")
-        if self.index not in ("brute-force", "ivf-flat", "ivf-sq", "ivf-pq", "ivf-rq", "ivf-hnsw-sq", "ivf-hnsw-pq"):
+        if self.index not in ("brute-force", *vector_index.KINDS):
             out.append(f"unknown index {self.index}")
         if self.index.endswith("pq"):
             if self.sub_vectors <= 0 or self.dim % max(1, self.sub_vectors):
@@ -42,32 +42,120 @@ class Profile:
 class Library:
     """Books of one folder: nodes, chunks with vectors, items and their curation.
 
-    Tables are Parquet; nodes and chunks carry doc_id, and chunks are partitioned by it in
-    runs of 1,000 documents, so a search in one book reads one partition.
+    Nodes, chunks and stamps of an item change together (see versions.Store); they carry
+    doc_id and are partitioned by runs of 1,000 documents, so a search in one book reads one
+    partition of each layer.
     """
 
     spark: SparkSession
     path: str
     profile: Profile = field(default_factory=Profile)
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+    @property
+    def store(self) -> versions.Store:
+        return versions.Store(self.spark, self.path, "doc_id", "shelf")
 
-    def ingest(self, docs: DataFrame, level) -> None:
-        """Structure, chunk and embed documents (doc_id, text, title).
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        return self.store.read(name, version)
 
-        Those that are there already are replaced, all others stay as they are, on the same
-        shelf too; only what comes in is chunked and embedded. The same call again changes nothing.
-        """
+    def _print(self) -> Column:
+        p = self.profile
+        return sinks.fingerprint(p.model, p.dim, chunks.CHUNK_VERSION, 1, "")
+
+    def _checked(self) -> None:
         if bad := self.profile.problems():
             raise ValueError("; ".join(bad))
-        blocks = structure.text_blocks(docs, level)
+
+    def plan(self, docs: DataFrame, blocks: DataFrame, toc: DataFrame) -> dict[str, DataFrame]:
+        """Nodes, chunks and stamps of documents (doc_id, title) from their blocks, as ingest would publish them."""
         shelf = F.floor(F.col("doc_id") / 1000).cast("long").alias("shelf")
-        came = docs.select("doc_id", shelf).where("doc_id is not null").distinct()
-        nodes = sinks.stored(structure.plan_tree(blocks, structure.contents_of(blocks), docs.select("doc_id", "title")))
+        nodes = sinks.stored(structure.plan_tree(blocks, toc, docs.select("doc_id", "title")))
         found = search.hash_vectors(chunks.plan_chunks(nodes), "text", self.profile.dim)
-        for name, rows in (("nodes", nodes), ("chunks", found)):
-            sinks.merge_items(rows.select("*", shelf), came, f"{self.path}/{name}", "doc_id", "shelf")
+        stamps = docs.select("doc_id", shelf, self._print().alias("fingerprint")).where("doc_id is not null").distinct()
+        return {"nodes": nodes.select("*", shelf), "chunks": found.select("*", shelf), "stamps": stamps}
+
+    def ingest(self, docs: DataFrame, level) -> int:
+        """Structure, chunk and embed documents (doc_id, text, title); the number of the version that has them.
+
+        Those that are there already are replaced, all others stay as they are, on the same
+        shelf too; only what comes in is chunked, embedded and written. Readers see all of it or
+        nothing, and a writer who began before another published is refused.
+        """
+        self._checked()
+        begun = self.store.version()
+        self._same_dim(begun)
+        blocks = structure.text_blocks(docs, level)
+        planned = self.plan(docs, blocks, structure.contents_of(blocks))
+        return self.store.publish(planned, docs.select("doc_id"), begun, {"dim": self.profile.dim})
+
+    def _same_dim(self, version: int) -> None:
+        have = self.store.stamps(version).get("dim", self.profile.dim)
+        if have != self.profile.dim:
+            raise ValueError(f"the vectors have dim {have}, the profile {self.profile.dim}")
+
+    def stale(self) -> DataFrame:
+        """(doc_id) of items whose vectors another model or another way of chunking made."""
+        return self.table("stamps").where(F.col("fingerprint") != self._print()).select("doc_id")
+
+    def reembed(self, only: list[int] | None = None) -> int:
+        """Embed the chunks of some items again, or of all that are stale; how many items that were.
+
+        Nodes stay as they are. Vectors of another dim can only come in for all items at once.
+        """
+        self._checked()
+        begun = self.store.version()
+        stamps = self.table("stamps", begun)
+        todo = stamps.where(F.col("doc_id").isin(only)) if only is not None else stamps.where(F.col("fingerprint") != self._print())
+        todo = sinks.stored(todo.select("doc_id", "shelf"))
+        if (n := todo.count()) == 0:
+            return 0
+        if n < stamps.count():
+            self._same_dim(begun)
+        old = self.table("chunks", begun).drop("embedding").join(todo.select("doc_id"), "doc_id", "left_semi")
+        new = {"chunks": search.hash_vectors(old, "text", self.profile.dim), "stamps": todo.withColumn("fingerprint", self._print())}
+        self.store.publish(new, todo, begun, {"dim": self.profile.dim})
+        return n
+
+    # --- the index --------------------------------------------------------------
+
+    def _keyed(self, version: int | None = None) -> DataFrame:
+        """Chunks with a key that says which chunk of which text they are."""
+        return self.table("chunks", version).withColumn("chunk_key", F.xxhash64("doc_id", "chunk_idx", "chunk_sha256"))
+
+    def build_index(self, recall: float = 0.95) -> vector_index.Index:
+        """Learn an index of the profile's kind from the chunks as they are, and calibrate it to find recall of the ten nearest."""
+        self._checked()
+        if self.profile.index == "brute-force":
+            raise ValueError("the profile asks for no index")
+        rows = self._keyed()
+        names = {"id_column": "chunk_key", "column": "embedding"}
+        made = vector_index.train(rows, self.profile.index, runs=self.profile.sub_vectors, **names)
+        vector_index.encode(rows, made, **names).write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/index/codes")
+        made = vector_index.calibrate(made, self._codes(), rows, least=recall, **names)
+        vector_index.save(made, self.spark, f"{self.path}/index/model")
+        return made
+
+    def _codes(self) -> DataFrame:
+        return self.spark.read.schema("id long, code binary, cell int").parquet(f"{self.path}/index/codes")
+
+    def index_status(self) -> DataFrame:
+        """One row: chunks, how many the index has and lacks, and codes whose chunk is gone."""
+        return vector_index.status(self._keyed(), self._codes(), "chunk_key")
+
+    def _nearest(self, store: DataFrame, vector: list[float], k: int, partly: bool) -> DataFrame:
+        """The k nearest rows by the index; rows that it lacks are searched as they are. partly: store lacks rows that the index has."""
+        system, folder = sinks._folder(self.spark, f"{self.path}/index/model")
+        if not system.exists(folder):
+            raise ValueError("the profile asks for an index, and none was built")
+        index, codes = vector_index.load(self.spark, f"{self.path}/index/model"), self._codes()
+        if index.kind != self.profile.index:
+            raise ValueError(f"the index that was built is {index.kind}")
+        asked = self.spark.createDataFrame([(0, vector)], "chunk_key long, embedding array<double>")
+        own = codes.join(store.select(F.col("chunk_key").alias("id")), "id", "left_semi") if partly else codes
+        hits = vector_index.search(asked, own, store, index, k, "chunk_key").select(F.col("id").alias("chunk_key"))
+        later = search.top_k(store.join(codes.select(F.col("id").alias("chunk_key")), "chunk_key", "left_anti"), vector, k, id_column="start_node_id")
+        both = store.join(F.broadcast(hits), "chunk_key", "left_semi").unionByName(later.drop("distance"))
+        return search.top_k(both, vector, k, id_column="start_node_id")
 
     def embed(self, text: str) -> list[float]:
         if not text.strip():
@@ -79,12 +167,17 @@ class Library:
         """The k nearest passages, each with its breadcrumb; in one document, or in all but some."""
         if doc_id is not None and exclude:
             raise ValueError("a search in one document excludes no others")
-        store = self.table("chunks").where(F.exists("embedding", lambda x: x != 0))
+        self._same_dim(self.store.version())
+        store = self._keyed().where(F.exists("embedding", lambda x: x != 0))
         if doc_id is not None:
             store = store.where((F.col("shelf") == doc_id // 1000) & (F.col("doc_id") == doc_id))
         if exclude:
             store = store.where(~F.col("doc_id").isin(list(exclude)))
-        hits = search.top_k(store, self.embed(text), self.profile.top_k_in if self.profile.reranker else k, id_column="start_node_id")
+        most = self.profile.top_k_in if self.profile.reranker else k
+        if self.profile.index == "brute-force" or doc_id is not None:  # one document is a partition's part
+            hits = search.top_k(store, self.embed(text), most, id_column="start_node_id")
+        else:
+            hits = self._nearest(store, self.embed(text), most, bool(exclude))
         if self.profile.reranker:
             hits = search.rerank(hits, search.lexical_score(F.col("text"), text), self.profile.top_k_in, self.profile.top_k_out, k, "start_node_id")
         # only the trees of the documents that were hit are walked
