@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import catalog, chunks, search, sequences, sinks, structure, vector_index, versions
+from .operators import catalog, chunks, search, sequences, sinks, stages, structure, vector_index, versions
 
 
 @dataclass(frozen=True)
@@ -88,6 +88,95 @@ class Library:
         planned = self.plan(docs, blocks, structure.contents_of(blocks))
         return self.store.publish(planned, docs.select("doc_id"), begun, {"dim": self.profile.dim})
 
+    # --- from files, by stages ----------------------------------------------------
+
+    def dry_run(self, items: DataFrame, level, extractors: dict | None = None) -> DataFrame:
+        """The report of what ingest_files would do with items (doc_id, name, content); nothing of the library is read or written."""
+        return self._planned(stages.extract(items, extractors), level).report()
+
+    def ingest_files(self, items: DataFrame, level, extractors: dict | None = None) -> DataFrame:
+        """Extract, structure, audit, chunk and embed items (doc_id, name, content); the report, a row for each item.
+
+        What can be read is published as one version with its envelopes and audits; what
+        cannot is a row of the report and leaves what the library has of it alone.
+        """
+        self._checked()
+        begun = self.store.version()
+        self._same_dim(begun)
+        planned = self._planned(stages.extract(items, extractors), level)
+        report = sinks.stored(planned.report())
+        good = report.where("failed_at is null").select("doc_id").distinct()
+        shelf = F.floor(F.col("doc_id") / 1000).cast("long").alias("shelf")
+        envelopes = planned.extracted.select("*", shelf, F.lit(stages.EXTRACTOR_VERSION).alias("version"))
+        tables = planned.tables | {"envelopes": envelopes, "audits": planned.audits.select("*", shelf)}
+        self.store.publish({n: rows.join(good, "doc_id", "left_semi") for n, rows in tables.items()}, good, begun, {"dim": self.profile.dim})
+        return report
+
+    def _planned(self, extracted: DataFrame, level, overrides: DataFrame | None = None) -> stages.Planned:
+        blocks = sinks.stored(stages.blocks_of(extracted, level))
+        toc = stages.contents_of(extracted, blocks)
+        audits = sinks.stored(stages.audit(extracted, blocks, toc, overrides))
+        titles = extracted.where("outcome = 'extracted' and doc_id is not null").select("doc_id", F.coalesce("title", stages.file_stem(F.col("name"))).alias("title"))
+        return stages.Planned(extracted, blocks, toc, audits, self.plan(titles, blocks, toc))
+
+    def rebuild(self, items: DataFrame, level, only: list[int] | None = None, version: int | None = None, dry: bool = False) -> DataFrame:
+        """(doc_id, bucket, error) of items (doc_id, source_sha256) whose nodes and chunks are made again from their envelopes.
+
+        Buckets: rebuilt, missing (no envelope), mismatched (of another file) or failed. only
+        picks items, version those whose envelopes are of another extractor version. dry only says
+        what would be done. What is rebuilt is published as one version, all else stays as it is.
+        """
+        self._checked()
+        begun = self.store.version()
+        wanted = items if only is None else items.where(F.col("doc_id").isin(only))
+        found = self.table("envelopes", begun)
+        if version is not None:
+            wanted = wanted.join(found.where(F.col("version") != version).select("doc_id"), "doc_id", "left_semi")
+        own = found.select("doc_id", F.struct(F.col("source_sha256").alias("sha"), ((F.col("outcome") == "extracted") & (F.size("blocks") > 0)).alias("ok")).alias("e"))
+        bucket = F.when(F.col("e").isNull(), "missing").when(~F.col("e.sha").eqNullSafe(F.col("source_sha256")), "mismatched").when(~F.coalesce("e.ok", F.lit(False)), "failed").otherwise("rebuilt")
+        sorted_ = sinks.stored(wanted.join(own, "doc_id", "left").select("doc_id", bucket.alias("bucket")))
+        todo = sorted_.where("bucket = 'rebuilt'").select("doc_id")
+        if todo.isEmpty():
+            return sorted_.withColumn("error", F.lit(None).cast("string"))
+        planned = self._planned(found.join(todo, "doc_id", "left_semi"), level)
+        report = sinks.stored(planned.report()).select("doc_id", F.col("failed_at"), "error")
+        if not dry:
+            self._same_dim(begun)
+            good = report.where("failed_at is null").select("doc_id").distinct()
+            self.store.publish({n: rows.join(good, "doc_id", "left_semi") for n, rows in planned.tables.items()}, good, begun)
+        told = sorted_.join(report, "doc_id", "left")
+        return told.select("doc_id", F.when(F.col("failed_at").isNotNull(), "failed").otherwise(F.col("bucket")).alias("bucket"), "error")
+
+    def reaudit(self, level, overrides: DataFrame | None = None, only: list[int] | None = None, dry: bool = False) -> DataFrame:
+        """(doc_id, old and new verdict and confidence, changed, outcome): items audited again from their envelopes under curated values.
+
+        Only the audits change, as one version; outcome is ok for a clean verdict, else partial.
+        """
+        begun = self.store.version()
+        envelopes = self.table("envelopes", begun)
+        envelopes = envelopes if only is None else envelopes.where(F.col("doc_id").isin(only))
+        blocks = stages.blocks_of(envelopes, level)
+        new = sinks.stored(stages.audit(envelopes, blocks, stages.contents_of(envelopes, blocks), overrides))
+        old = self.table("audits", begun).select("doc_id", F.col("verdict").alias("old_verdict"), F.col("confidence").alias("old_confidence"))
+        told = new.select("doc_id", "verdict", "confidence").join(old, "doc_id", "left").select(
+            "doc_id", "old_verdict", "old_confidence", "verdict", "confidence",
+            (~(F.col("verdict").eqNullSafe(F.col("old_verdict")) & F.col("confidence").eqNullSafe(F.col("old_confidence")))).alias("changed"),
+            F.when(F.col("verdict") == "clean", "ok").otherwise("partial").alias("outcome"),
+        )
+        told = sinks.stored(told)
+        if not dry:
+            shelf = F.floor(F.col("doc_id") / 1000).cast("long").alias("shelf")
+            self.store.publish({"audits": new.select("*", shelf)}, new.select("doc_id"), begun)
+        return told
+
+    def audits(self, confidence: str | None = None, verdict: str | None = None) -> DataFrame:
+        """Audits of all items; of one confidence, or one verdict."""
+        out = self.table("audits")
+        out = out if confidence is None else out.where(F.col("confidence") == confidence)
+        return out if verdict is None else out.where(F.col("verdict") == verdict)
+
+    # --- vectors ------------------------------------------------------------------
+
     def _same_dim(self, version: int) -> None:
         have = self.store.stamps(version).get("dim", self.profile.dim)
         if have != self.profile.dim:

@@ -26,6 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def all_queries() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import catalogue, documents, relational, upkeep, vectors  # noqa: F401
+    from . import catalogue, documents, relational, runs, upkeep, vectors  # noqa: F401
 
     return dict(QUERIES), dict(SQL)

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Elements that make a block, and those without readable text.
@@ -113,19 +111,50 @@ def html_contents(blocks: DataFrame, key: str = "page_id") -> DataFrame:
     return blocks.where("kind = 'heading'").select(key, F.col("text").alias("label"), (F.col("level") - 1).alias("depth"), F.col("block_idx").alias("start_block"))
 
 
-@pandas_udf(T.StringType())
-def unescaped(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: x if x is None else unescape(x))
+class _Head(HTMLParser):
+    """Title, language and author of a page, wherever its tags put their attributes."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: dict[str, str | None] = {"title": None, "lang": None, "author": None}
+        self.title: list[str] | None = None
+
+    def _put(self, name: str, value: str | None) -> None:
+        value = " ".join((value or "").split())
+        if value and self.found[name] is None:
+            self.found[name] = value
+
+    def handle_starttag(self, tag, attrs):
+        own = {k: v for k, v in reversed(attrs)}  # of a repeated attribute the first counts
+        if tag == "html":
+            self._put("lang", own.get("lang"))
+        elif tag == "title" and self.title is None:
+            self.title = []
+        elif tag == "meta" and (own.get("name") or "").strip().lower() == "author":
+            self._put("author", own.get("content"))
+
+    def handle_endtag(self, tag):
+        if tag == "title" and self.title:
+            self._put("title", "".join(self.title))
+
+    def handle_data(self, data):
+        if self.title is not None and self.found["title"] is None:
+            self.title.append(data)
+
+
+def head_of(html: str) -> dict[str, str | None]:
+    """title, lang and author from the first HEAD_CHARS characters of a page; a title that is not closed there is none."""
+    walker = _Head()
+    walker.feed(html[:HEAD_CHARS])
+    return walker.found
 
 
 def html_biblio(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
     """(key, title, lang, author, truncated): metadata in the first 256 Ki characters of each page."""
-    head = F.substring(column, 1, HEAD_CHARS)
-    pick = lambda p: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(head, p, 1), r"(?U)\s+", " ")), F.lit(""))
-    return pages.select(
-        key,
-        unescaped(pick(r"(?is)<title[^>]*>(.*?)</title>")).alias("title"),
-        pick(r"(?is)<html[^>]*\slang\s*=\s*[\"']([^\"']+)").alias("lang"),
-        unescaped(pick(r"(?is)<meta[^>]*name=[\"']author[\"'][^>]*content=[\"']([^\"']*)")).alias("author"),
-        (F.char_length(column) > HEAD_CHARS).alias("truncated"),
-    )
+
+    @pandas_udf("title string, lang string, author string")
+    def heads(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([head_of(t or "") for t in texts], columns=["title", "lang", "author"])
+
+    found = pages.select(key, heads(F.substring(column, 1, HEAD_CHARS)).alias("h"), (F.char_length(column) > HEAD_CHARS).alias("truncated"))
+    return found.select(key, "h.title", "h.lang", "h.author", "truncated")
