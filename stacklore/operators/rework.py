@@ -127,11 +127,16 @@ def ocr_product(pages: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def aliases(payload: Column, keys: tuple[str, ...] = ("aliases", "alias")) -> Column:
-    """Other names in a JSON payload: strings, or arrays of strings, under keys."""
-    one = lambda k: F.get_json_object(payload, f"$.{k}")
-    many = lambda k: F.from_json(one(k), "array<string>")
-    each = [F.when(one(k).rlike(r"^\["), many(k)).when(one(k).isNotNull(), F.array(one(k))).otherwise(F.array().cast("array<string>")) for k in keys]
-    return F.filter(F.flatten(F.array(*each)), lambda x: x.isNotNull() & (x != ""))
+    """Other names in a JSON payload: a string, or an array of strings, under each of keys; none where the payload is no JSON."""
+    parsed = F.try_parse_json(payload)
+    none = F.array().cast("array<string>")
+
+    def under(key: str) -> Column:
+        many = F.try_variant_get(parsed, f"$['{key}']", "array<string>")
+        one = F.try_variant_get(parsed, f"$['{key}']", "string")
+        return F.coalesce(many, F.when(one.isNotNull(), F.array(one)), none)
+
+    return F.filter(F.flatten(F.array(*map(under, keys))), lambda x: x.isNotNull() & (x != ""))
 
 
 def full_text(headword: Column, names: Column, leaves: Column) -> Column:
@@ -153,10 +158,20 @@ def from_one_hot(names: tuple[str, ...]) -> Column:
 
 
 def scrub_json(value: Column) -> Column:
-    """JSON text with every string value redacted; keys, numbers and structure stay."""
+    """JSON text with every string value redacted as what it says, however it is escaped; keys, numbers and structure stay.
+
+    A string in which there is nothing to redact stays as it was written; one that cannot be
+    decoded is redacted as it stands.
+    """
     strings = r'"(?:[^"\\]|\\.)*+"(?:\s*:)?'
     found = F.regexp_extract_all(value, F.lit(strings), F.lit(0))
-    of_value = lambda m: F.when(F.endswith(m, F.lit(":")), m).otherwise(redact(m))
+
+    def of_value(m: Column) -> Column:
+        said = F.coalesce(F.element_at(F.from_json(F.concat(F.lit("["), m, F.lit("]")), "array<string>"), 1), m)
+        cleaned = redact(said)
+        written = F.to_json(F.array(cleaned))
+        return F.when(F.endswith(m, F.lit(":")) | (cleaned == said), m).otherwise(F.substring(written, F.lit(2), F.char_length(written) - 2))
+
     between = F.split(value, strings, -1)
     pairs = F.zip_with(between, F.transform(found, of_value), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     return F.when(F.size(found) == 0, value).otherwise(F.array_join(pairs, ""))

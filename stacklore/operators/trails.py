@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,31 +115,42 @@ def prune_stale(calls: DataFrame, hits: DataFrame, fingerprint: str) -> tuple[Da
 
 
 def take_ranked(candidates: DataFrame, ranked: DataFrame, by: str = "call_id") -> DataFrame:
-    """candidates (by, index) in the order of ranked (by, rank, index, score); an index that is repeated or out of range fails the job."""
-    found = ranked.join(candidates, [by, "index"], "left")
+    """candidates (by, index) in the order of ranked (by, rank, index, score); an index that is repeated or out of range fails the job.
+
+    Each call's rows stand together, in order; calls are in no order among themselves.
+    """
+    found = ranked.join(candidates.withColumn("_there", F.lit(True)), [by, "index"], "left")
     times = F.count("*").over(Window.partitionBy(by, "index"))
-    missing = candidates.columns[-1] if candidates.columns[-1] not in (by, "index") else candidates.columns[0]
-    checks = found.withColumn("_bad", F.assert_true((times == 1) & F.col(missing).isNotNull(), F.lit("an index is repeated or out of range")))
-    return checks.where("_bad is null").drop("_bad").orderBy(by, "rank")
+    checks = found.withColumn("_bad", F.assert_true((times == 1) & F.coalesce("_there", F.lit(False)), F.lit("an index is repeated or out of range")))
+    return checks.where("_bad is null").drop("_bad", "_there").repartition(by).sortWithinPartitions(by, "rank")
 
 
 def greedy_batches(chunks: DataFrame, by: str, order: str, size: Column, chars: int = BATCH_CHARS, rows: int = BATCH_ROWS) -> DataFrame:
-    """(by, order, batch): chunks of an item in order, as many in a batch as fit; one that is too large has its own."""
-    listed = chunks.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), size.cast("long").alias("n")))).alias("all"))
-    kind = "array<struct<at:{0},batch:int>>".format(chunks.schema[order].dataType.simpleString())
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("rows"), F.array().cast(kind).alias("out"))
-
-    def put(state: Column, x: Column) -> Column:
-        full = (state["rows"] > 0) & ((state["sum"] + x["n"] > chars) | (state["rows"] >= rows))
-        batch = F.when(full, state["batch"] + 1).otherwise(state["batch"])
-        return F.struct(
-            batch.alias("batch"), F.when(full, x["n"]).otherwise(state["sum"] + x["n"]).alias("sum"),
-            F.when(full, F.lit(1)).otherwise(state["rows"] + 1).alias("rows"),
-            F.concat(state["out"], F.array(F.struct(x["at"].alias("at"), batch.alias("batch")))).alias("out"),
-        )
-
-    done = listed.select(by, F.explode(F.aggregate("all", start, put)["out"]).alias("o"))
-    return done.select(by, F.col("o.at").alias(order), "o.batch")
+    """(by, order, batch): chunks of an item in order, as many in a batch as fit; one that is too large has its own.
+
+    What fits depends on all that came before, so an item is one task's; the task reads its
+    rows in order and holds one batch of them at a time.
+    """
+    sized = chunks.select(by, order, F.coalesce(size.cast("long"), F.lit(0)).alias("_n")).repartition(by).sortWithinPartitions(by, order)
+    kinds = {c: chunks.schema[c].dataType for c in (by, order)}
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        item, number, filled, held = object(), 0, 0, 0
+        for batch in batches:
+            numbers = []
+            for own, n in zip(batch[by], batch["_n"], strict=True):
+                if own != item:
+                    item, number, filled, held = own, 0, 0, 0
+                elif held and (filled + n > chars or held >= rows):
+                    number, filled, held = number + 1, 0, 0
+                filled, held = filled + n, held + 1
+                numbers.append(number)
+            yield pd.DataFrame({by: batch[by], order: batch[order], "batch": numbers})
+
+    # as text, so that long numbers among nulls are not made doubles
+    texts = sized.select(F.col(by).cast("string").alias(by), F.col(order).cast("string").alias(order), "_n")
+    done = texts.mapInPandas(cut, f"`{by}` string, `{order}` string, batch int")
+    return done.select(F.col(by).cast(kinds[by]).alias(by), F.col(order).cast(kinds[order]).alias(order), "batch")
 
 
 # --- addresses ----------------------------------------------------------------
