@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..library import Library
 from ..operators import sinks
+from ..streaming import queue
 from .documents import _LINES, _docs, _level
 from .registry import query, table
 
@@ -75,3 +76,55 @@ def reaudit_run(spark, sf_dir):
     over = _docs(spark, sf_dir).where(d % 4 == 0).select(d.alias("intake_id"), F.explode(given).alias("g")).select("intake_id", "g.*")
     told = library.reaudit(_level(), over)
     return told.groupBy((d % 4 == 0).alias("given"), "old_verdict", "verdict", "changed", "outcome").agg(F.count("*").alias("n"))
+
+
+# --- the queue ------------------------------------------------------------------
+
+_COMMANDS = """
+e AS (SELECT ts, event_id AS seq, ['enqueue', 'start', 'done', 'heartbeat', 'cancel'][list_position(['signup', 'view', 'purchase', 'click', 'error'], event_type)] AS command,
+  md5(CAST(user_id AS VARCHAR)) AS job_id FROM events),
+c AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS i FROM e)"""
+
+#: the state of a job after each command: what a lease of six hours leaves of a running job, then what the command makes of it
+_STATES = f"""
+{_COMMANDS},
+s AS (
+  SELECT job_id, i, ts, command, CAST(NULL AS VARCHAR) AS found, CASE WHEN command = 'enqueue' THEN 'pending' END AS state, CAST(NULL AS TIMESTAMP) AS until, false AS ended FROM c WHERE i = 1
+  UNION ALL
+  SELECT c.job_id, c.i, c.ts, c.command, x.found,
+    CASE WHEN c.command = 'enqueue' AND x.found IS NULL THEN 'pending' WHEN c.command = 'start' AND x.found = 'pending' THEN 'running'
+      WHEN c.command = 'done' AND x.found = 'running' THEN NULL WHEN c.command = 'cancel' THEN NULL ELSE x.found END,
+    CASE WHEN (c.command = 'start' AND x.found = 'pending') OR (c.command = 'heartbeat' AND x.found = 'running') THEN c.ts + INTERVAL 6 HOUR WHEN x.found = 'running' THEN s.until END,
+    s.state = 'running' AND s.until < c.ts
+  FROM s JOIN c ON c.job_id = s.job_id AND c.i = s.i + 1, LATERAL (SELECT CASE WHEN s.state = 'running' AND s.until < c.ts THEN 'pending' ELSE s.state END AS found) AS x),
+last AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY i DESC) = 1),
+mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM events),
+moves AS (
+  SELECT 'running' AS was, 'pending' AS state, 'lease ended' AS note FROM s WHERE ended
+  UNION ALL SELECT 'running', 'pending', 'lease ended' FROM last, mark WHERE last.state = 'running' AND last.until < mark.w
+  UNION ALL SELECT found, CASE WHEN command = 'done' AND found = 'running' THEN 'done' WHEN command = 'cancel' AND found IS NOT NULL THEN 'cancelled' ELSE state END,
+    CASE WHEN command = 'cancel' AND found IS NULL THEN 'refused: no such job'
+      WHEN (command = 'enqueue' AND found IS NOT NULL) OR (command = 'start' AND found IS DISTINCT FROM 'pending') OR (command IN ('done', 'heartbeat') AND found IS DISTINCT FROM 'running') THEN 'refused: ' || command END
+  FROM s WHERE command <> 'heartbeat' OR found IS DISTINCT FROM 'running')"""
+
+
+def _commands(spark, sf_dir):
+    """Events as commands: each user is a job; the order of time and of numbers is the same."""
+    kinds = F.create_map(*[F.lit(x) for pair in (("signup", "enqueue"), ("view", "start"), ("purchase", "done"), ("click", "heartbeat"), ("error", "cancel")) for x in pair])
+    return table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), kinds[F.col("event_type")].alias("command"), F.md5(F.col("user_id").cast("string").cast("binary")).alias("job_id"))
+
+
+@query(f"""
+WITH RECURSIVE {_STATES}
+SELECT coalesce(was, 'none') AS was, coalesce(state, 'none') AS state, coalesce(note, '') AS note, count(*) AS n FROM moves GROUP BY ALL""")
+def queue_changes(spark, sf_dir):
+    """What a stream of all events, read as commands, does to the jobs of a queue; counted by change. The stream runs in two parts, the second from the first's checkpoint."""
+    place = sinks.scratch(spark)
+    commands = _commands(spark, sf_dir)
+    middle = commands.agg(F.percentile_approx(F.col("ts").cast("double"), 0.5)).first()[0]
+    for early in (True, False):
+        commands.where((F.col("ts").cast("double") < middle) == early).coalesce(1).write.mode("append").parquet(f"{place}/inbox")
+        queue.run(queue.commands_in(spark, f"{place}/inbox"), f"{place}/log", f"{place}/checkpoint", lease="6 hours").awaitTermination()
+    log = spark.read.schema(queue.CHANGES).parquet(f"{place}/log")
+    none = lambda c, x: F.coalesce(c, F.lit(x)).alias(c)
+    return log.groupBy(none("was", "none"), none("state", "none"), none("note", "")).agg(F.count("*").alias("n"))
