@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import library
 from ..functions import identifiers as ids
 from ..functions import text as tx
-from ..operators import book_audit, chunks, dedup, distill, paper_audit, quality, references, search, sequences, sinks, structure
+from ..operators import book_audit, chunks, dedup, distill, paper_audit, promotion, quality, references, search, sequences, sinks, structure
 from ..sources import html
 from .registry import query, table
 
@@ -377,3 +377,30 @@ def passages(spark, sf_dir, question: str = "the of and to in", k: int = 5) -> D
 @query()
 def cited_passages(spark, sf_dir):
     return passages(spark, sf_dir)
+
+
+def _paper(spark, sf_dir):
+    """Lines of documents as blocks of pages of ten; short lines are the outline's, named by numbers before them and found two blocks before they stand."""
+    lines = structure.text_blocks(_docs(spark, sf_dir), _level())
+    short, i = F.col("level").isNotNull(), F.col("block_idx")
+    text = F.when(short, F.concat(F.lit("Part"), i.cast("string"), F.lit("x "), F.left("text", F.lit(12)))).otherwise(F.col("text"))
+    blocks = lines.select(
+        "doc_id", i.cast("int").alias("block_idx"), F.floor(i / 10).cast("int").alias("page"), F.lit("body").alias("kind"), text.alias("text"),
+        F.lit(10.0).alias("font_size"), F.lit(False).alias("bold"), F.when(short | (i % 2 == 0), 1).otherwise(2).alias("lines"),
+    )
+    outline = blocks.where(F.col("text").like("Part%") & (F.col("block_idx") % 3 == 0)).join(lines.where(short).select("doc_id", F.col("block_idx").cast("int").alias("block_idx"), "level"), ["doc_id", "block_idx"])
+    return blocks, outline.select("doc_id", F.col("block_idx").alias("entry_idx"), F.concat(F.lit("4.2 "), F.upper(F.left("text", F.lit(1))), F.expr("substring(text, 2)")).alias("label"), (F.col("level") - 1).alias("depth"), F.greatest(F.col("block_idx") - 2, F.lit(0)).alias("start_block"))
+
+
+@query(f"""
+WITH {_LINES},
+h AS (SELECT doc_id, count(*) AS headings, CAST(sum(level) AS BIGINT) AS levels FROM l WHERE level IS NOT NULL AND block_idx % 3 = 0 GROUP BY doc_id)
+SELECT l.doc_id, coalesce(max(h.headings), 0) AS headings, coalesce(max(h.levels), 0) AS levels, CASE WHEN max(h.headings) > 0 THEN 'outline' ELSE 'none' END AS source
+FROM l LEFT JOIN h ON h.doc_id = l.doc_id GROUP BY l.doc_id""")
+def outline_promotion(spark, sf_dir):
+    blocks, outline = _paper(spark, sf_dir)
+    made = sinks.stored(promotion.promote(blocks, outline))
+    own = F.col("by") == "outline"
+    counts = made.groupBy("doc_id").agg(F.count_if(own).alias("headings"), F.coalesce(F.sum(F.when(own, F.col("level"))), F.lit(0)).cast("long").alias("levels"))
+    # numbered lines of the texts are another part's headings
+    return counts.join(promotion.sources(made.withColumn("by", F.when(own, F.col("by")))), "doc_id")
