@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import catalog, chunks, search, sequences, sinks, stages, structure, vector_index, versions
+from .operators import catalog, chunks, lexical, search, sequences, sinks, stages, structure, vector_index, versions
 
 
 @dataclass(frozen=True)
@@ -274,6 +274,23 @@ class Library:
         crumbs = structure.breadcrumbs(near).select(F.col("node_id").alias("start_node_id"), "breadcrumb")
         return hits.join(crumbs, "start_node_id", "left")
 
+    def build_lexical(self) -> None:
+        """Index the words of the chunks as they are."""
+        lexical.save(lexical.build(self._keyed(), "chunk_key"), f"{self.path}/lexical")
+
+    def hybrid(self, text: str, k: int = 10, reach: int = 5) -> DataFrame:
+        """The k best passages by their ranks among the reach * k nearest by vectors and best by words.
+
+        Words are those of the last build_lexical; passages that went since then are no hits.
+        """
+        rows = self._keyed()
+        vector = self.spark.createDataFrame([(-1, self.embed(text), text)], "chunk_key long, embedding array<double>, text string")
+        near = search.top_k_batch(vector, rows.where(F.exists("embedding", lambda x: x != 0)), reach * k, "chunk_key")
+        by_words = lexical.search(vector, lexical.load(self.spark, f"{self.path}/lexical"), reach * k, "chunk_key")
+        there = by_words.join(rows.select(F.col("chunk_key").alias("id")), "id", "left_semi")
+        best = lexical.fuse([near, there], k).select(F.col("id").alias("chunk_key"), "rank", "score")
+        return rows.join(F.broadcast(best), "chunk_key").drop("embedding").orderBy("rank")
+
     def contents(self, doc_id: int, max_depth: int | None = None, title: str | None = None) -> DataFrame:
         out = self.table("nodes").where((F.col("shelf") == doc_id // 1000) & (F.col("doc_id") == doc_id) & F.col("text").isNull())
         if max_depth is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import library
 from ..functions import identifiers as ids
 from ..functions import text as tx
-from ..operators import book_audit, chunks, dedup, distill, paper_audit, promotion, quality, references, search, sequences, sinks, structure
+from ..operators import book_audit, chunks, dedup, distill, lexical, paper_audit, promotion, quality, references, search, sequences, sinks, structure
 from ..sources import html
 from .registry import query, table
 
@@ -404,3 +404,37 @@ def outline_promotion(spark, sf_dir):
     counts = made.groupBy("doc_id").agg(F.count_if(own).alias("headings"), F.coalesce(F.sum(F.when(own, F.col("level"))), F.lit(0)).cast("long").alias("levels"))
     # numbered lines of the texts are another part's headings
     return counts.join(promotion.sources(made.withColumn("by", F.when(own, F.col("by")))), "doc_id")
+
+
+_BM25 = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT count(*) AS n, greatest(1.0, sum(len(w)) / count(*)) AS usual FROM w),
+t AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM w) GROUP BY ALL),
+h AS (SELECT term, count(*) AS holders FROM t GROUP BY term),
+s AS (SELECT q.doc_id AS query_id, t.doc_id AS id, round(sum(ln(1 + (n - holders + 0.5) / (holders + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / usual)))), 9) AS score
+  FROM (SELECT DISTINCT doc_id, term FROM t WHERE doc_id % 100 = 0) q JOIN t ON t.term = q.term AND t.doc_id <> q.doc_id JOIN h ON h.term = t.term, g GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"""
+
+
+def _by_words(spark, sf_dir, k):
+    docs = _docs(spark, sf_dir)
+    return lexical.search(docs.where("doc_id % 100 = 0"), lexical.build(docs), k)
+
+
+@query(f"{_BM25} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 10")
+def lexical_topk(spark, sf_dir):
+    """The ten best documents by BM25 for every whole document whose id is divisible by 100."""
+    return _by_words(spark, sf_dir, 10).withColumn("score", F.round("score", 6))
+
+
+@query(f"""
+{_BM25},
+v AS (SELECT q.vec_id AS query_id, a.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(CAST(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS DOUBLE), 9), a.vec_id) AS rank
+  FROM embeddings a JOIN embeddings q ON a.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM r WHERE rank <= 50 UNION ALL SELECT query_id, id, rank FROM v WHERE rank <= 50) GROUP BY 1, 2)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, round(score, 9) AS score FROM f QUALIFY rank <= 10""")
+def hybrid_topk(spark, sf_dir):
+    """The ranking by words and the one by vectors (of equal ids) as one, for all ids divisible by 100."""
+    store = table(spark, sf_dir, "embeddings")
+    near = search.top_k_batch(store.where("vec_id % 100 = 0"), store, 50)
+    return lexical.fuse([_by_words(spark, sf_dir, 50), near], 10)
