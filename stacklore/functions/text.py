@@ -44,6 +44,10 @@ def strip_invisible(s: Column) -> Column:
     return F.translate(s, INVISIBLE, "")
 
 
+#: dashes, ellipses and quotes that are written in more than one way
+UNIFIED = "\u2e3a\u2e3b\u2015\u2011\u22ef\u201c\u201d\u2018\u2019"
+
+
 def unify_punctuation(s: Column) -> Column:
     longer = F.replace(F.replace(s, F.lit("\u2e3a"), F.lit("\u2014" * 2)), F.lit("\u2e3b"), F.lit("\u2014" * 3))
     return F.translate(longer, "\u2015\u2011\u22ef\u201c\u201d\u2018\u2019", "\u2014\u2010\u2026\"\"''")
@@ -58,10 +62,18 @@ def join_cjk(s: Column) -> Column:
     return F.regexp_replace(s, f"(?<=[{CJK_NORMALIZE}]) (?=[{CJK_NORMALIZE}])", "")
 
 
+def _once(s: Column, f) -> Column:
+    """f of s, with s worked out once however often f names it."""
+    return F.transform(F.array(s), f)[0]
+
+
 def normalize(s: Column) -> Column:
     """Frozen form of a text: its hash says that two passages are the same. The order of the steps is part of it."""
     s = nfkc(unify_line_ends(s))
-    s = F.translate(unify_punctuation(strip_invisible(s)), "\t", " ")
+    # translate looks every character up in a map, so only texts with something to translate go there
+    rare = "".join(f"\\x{{{ord(c):x}}}" for c in INVISIBLE + UNIFIED)
+    s = _once(s, lambda x: F.when(x.rlike(f"[{rare}]"), unify_punctuation(strip_invisible(x))).otherwise(x))
+    s = F.replace(s, F.lit("\t"), F.lit(" "))
     s = F.regexp_replace(join_cjk(fold_lines(s)), "\n{3,}", "\n\n")
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
 

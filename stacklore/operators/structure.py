@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_sha256, normalize, sentence_count
+from .sinks import stored
 
 #: ids of one document's nodes lie in [doc_id * SPACE + 1, doc_id * SPACE + SPACE - 1]
 SPACE = 100_000_000
@@ -66,38 +67,48 @@ def skeleton(toc: DataFrame) -> DataFrame:
     return out.select(*toc.columns, path.alias("path"))
 
 
-def plan_tree(blocks: DataFrame, toc: DataFrame, titles: DataFrame) -> DataFrame:
+def plan_tree(blocks: DataFrame, toc: DataFrame, titles: DataFrame, whole: bool = False) -> DataFrame:
     """Nodes of all documents: root, one for each contents entry, and leaves in reading order.
 
     A heading that repeats the label of an entry that starts there is no leaf. An
     organizing node spans its descendants (toc_lo, toc_hi); its subtree_sha256 is the hash
     of their normalized hashes, its own leaves before its children. titles: doc_id, title.
+    whole says that all columns will be read: the leaves' hashes, which are the dear part and
+    are needed in two places, are then worked out once, into a table in a shared folder.
     """
     labels = toc.where("start_block is not null").select(
         "doc_id", F.col("start_block").alias("block_idx"), normalize(F.col("label")).alias("norm_label")
     )
-    leaves = blocks.withColumn("norm", normalize(F.col("text")))
-    repeats = (leaves["kind"] == "heading") & (leaves["norm"] == labels["norm_label"])
-    leaves = leaves.join(labels, (leaves["doc_id"] == labels["doc_id"]) & (leaves["block_idx"] == labels["block_idx"]) & repeats, "left_anti")
+    # only a heading can repeat a label, so only headings are compared
+    heads = blocks.where("kind = 'heading'").withColumn("norm_label", normalize(F.col("text")))
+    heads = heads.join(labels, ["doc_id", "block_idx", "norm_label"], "left_anti").drop("norm_label")
+    leaves = blocks.where("kind is distinct from 'heading'").unionByName(heads)
     leaves = owners(leaves, toc)
     orgs = skeleton(toc)
     order = Window.partitionBy("doc_id").orderBy("block_idx")
     owner = orgs.select("doc_id", F.col("entry_idx").alias("owner"), "path")
     leaves = leaves.withColumn("doc_order", F.row_number().over(order) - 1).join(owner, ["doc_id", "owner"], "left")
-    leaves = leaves.withColumn("path", F.coalesce("path", F.array().cast("array<int>"))).withColumn("norm_sha256", F.sha2("norm", 256))
-    # the root has path [] and is an ancestor of every leaf
-    up = leaves.select(
-        "doc_id", "doc_order", "source_unit", "norm_sha256", "path",
-        F.explode(F.concat(F.array(F.lit(-1)), "path")).alias("entry_idx"),
-    )
-    spans = up.groupBy("doc_id", "entry_idx").agg(
+    leaves = leaves.withColumn("path", F.coalesce("path", F.array().cast("array<int>"))).withColumn("norm_sha256", F.sha2(normalize(F.col("text")), 256))
+    if whole:
+        leaves = stored(leaves)
+    # a row for each entry with leaves of its own; only these go up to their ancestors, not every leaf
+    own = leaves.groupBy("doc_id", "path").agg(
         F.min("doc_order").alias("toc_lo"),
         F.max("doc_order").alias("toc_hi"),
         F.min("source_unit").alias("page_lo"),
         F.max("source_unit").alias("page_hi"),
-        F.array_sort(F.collect_list(F.struct("path", "doc_order", "norm_sha256"))).alias("below"),
+        F.array_join(F.array_sort(F.collect_list(F.struct("doc_order", "norm_sha256")))["norm_sha256"], "").alias("hashes"),
+    )
+    # the root has path [] and is an ancestor of every leaf
+    up = own.withColumn("entry_idx", F.explode(F.concat(F.array(F.lit(-1)), "path")))
+    spans = up.groupBy("doc_id", "entry_idx").agg(
+        F.min("toc_lo").alias("toc_lo"),
+        F.max("toc_hi").alias("toc_hi"),
+        F.min("page_lo").alias("page_lo"),
+        F.max("page_hi").alias("page_hi"),
+        F.array_sort(F.collect_list(F.struct("path", "hashes"))).alias("below"),
     )
-    spans = spans.withColumn("subtree_sha256", F.sha2(F.array_join(F.col("below.norm_sha256"), ""), 256)).drop("below")
+    spans = spans.withColumn("subtree_sha256", F.sha2(F.array_join(F.col("below.hashes"), ""), 256)).drop("below")
     counts = toc.groupBy("doc_id").agg(F.count("*").alias("entries"))
     base = F.col("doc_id") * SPACE + 1
     null = lambda kind: F.lit(None).cast(kind)

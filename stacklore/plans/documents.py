@@ -10,7 +10,7 @@ from ..functions import identifiers as ids
 from ..functions import text as tx
 from ..operators import book_audit, chunks, dedup, distill, lexical, paper_audit, promotion, quality, references, search, sequences, sinks, structure
 from ..sources import html
-from .registry import query, table
+from .registry import query, spread, table
 
 _NORM = (
     "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n|[\\r\\x0B\\x0C]', chr(10), 'g'), "
@@ -29,15 +29,15 @@ def _level():
 
 
 def _docs(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
-def _tree(spark, sf_dir):
+def _tree(spark, sf_dir, whole=False):
     docs = _docs(spark, sf_dir)
     blocks = structure.text_blocks(docs, _level())
     toc = structure.contents_of(blocks)
     titles = docs.select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"))
-    return blocks, toc, structure.plan_tree(blocks, toc, titles)
+    return blocks, toc, structure.plan_tree(blocks, toc, titles, whole)
 
 
 @query(f"SELECT doc_id, sha256({_NORM}) AS norm_sha256, CAST(length({_NORM}) AS BIGINT) AS norm_chars FROM documents")
@@ -113,7 +113,7 @@ def toc_owner_asof(spark, sf_dir):
 
 @query()
 def document_tree(spark, sf_dir):
-    return _tree(spark, sf_dir)[2].drop("text")
+    return _tree(spark, sf_dir, whole=True)[2].drop("text")
 
 
 @query(f"""

@@ -25,6 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many parts as there are cores: a small file of one row group would be one task's work.
+
+    Tables with more parts than cores, as all large ones have, stay as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def all_queries() -> tuple[dict[str, Query], dict[str, str]]:
     from . import catalogue, documents, relational, runs, upkeep, vectors  # noqa: F401
 
