@@ -35,7 +35,7 @@ SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<i8"), ("offset", "<i8"), ("
 #: documents and keys that one shard and one bucket of the index hold at most
 MOST_DOCUMENTS, BUCKET = 262_144, 65_536
 #: words whose ids a worker keeps, and the longest word that it keeps
-KEPT_WORDS, LONGEST = 600_000, 64
+KEPT_WORDS, LONGEST = 300_000, 64
 
 
 class Encoder(dict):
@@ -117,7 +117,7 @@ def _together(rows: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("known"), F.col("id")).alias("doc_id"), *others)
 
 
-def write(docs: DataFrame, path: str, model: str, end: int, text: str = "text", shard_bytes: int = 8 << 20, task_bytes: int = 48 << 20) -> None:
+def write(docs: DataFrame, path: str, model: str, end: int, text: str = "text", shard_bytes: int = 8 << 20, task_bytes: int = 32 << 20) -> None:
     """Write the ids of all documents to shards of about shard_bytes below path, in ascending order of doc_id.
 
     Null ids come last, rows with an equal id stand together, each whole. A text that is null
