@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, shared_folder, stored
@@ -179,9 +179,14 @@ def _in_parts(path: str) -> bool:
 def contents(spark: SparkSession, path: str) -> DataFrame:
     """(shard, path, content) of every file; content is read only where it is asked for."""
     files = spark.read.format("binaryFile").load(path).where("length > 0")
-    part = lambda pattern: F.regexp_extract("path", pattern, 1).cast("long")
     name = F.regexp_replace("path", "^file:/+", "file:///")
-    return files.select((part(r"/part-(\d+)-") * FILES_OF_TASK + part(r"-c(\d+)[^/]*$")).alias("shard"), name.alias("path"), "content")
+    return files.select(shard_number(F.col("path")).alias("shard"), name.alias("path"), "content")
+
+
+def shard_number(path: Column) -> Column:
+    """From a file's name part-<task>-<job>-c<file>.<ending>; the job's name may hold a -c and digits too."""
+    part = lambda pattern: F.regexp_extract(path, pattern, 1).cast("long")
+    return part(r"/part-(\d+)-[^/]*$") * FILES_OF_TASK + part(r"-c(\d+)\.[^/-]*$")
 
 
 def _directory(content: bytes) -> tuple[int, int, int]:

@@ -129,6 +129,13 @@ def test_one_key_and_absent_keys(spark, odd):
     assert token_files.locate(spark.range(1000, 3000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("copy")), index).count() == 0
 
 
+def test_numbers_of_files(spark):
+    """The name of the job that Spark puts into a file's name may look like a file's number."""
+    names = ["file:/a/part-00002-7d4b0c1e-c123-4c55-9c01-c4567890abcd-c011.txt", "file:/part-1-c9/part-00000-aaaaaaaa-bbbb-c000-dddd-eeeeeeeeeeee-c000.txt"]
+    df = spark.createDataFrame([(n,) for n in names], "path string")
+    assert [r[0] for r in df.select(token_files.shard_number(F.col("path"))).collect()] == [2_000_011, 0]
+
+
 def test_token_files_of_nothing(spark, none):
     assert token_files.round_trip(none, folder(), WORDS, 2).collect() == []
 
