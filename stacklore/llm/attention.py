@@ -160,7 +160,8 @@ class Scorer:
         value += self.value_place
         weight = query @ key.transpose(0, 2, 1)
         if not self.safe:
-            np.minimum(weight, 60, out=weight)
+            weight += _MASK
+            weight -= weight.max(-1, keepdims=True)
         np.exp(weight, out=weight)
         weight *= self.open
         mixed = (weight @ value).reshape(-1, DIM + 1)
