@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
-from ..operators import rework, trails
+from ..operators import abstracts, rework, sketches, trails
 from .catalogue import _ITEMS, _OVER, _items, _overrides, _pick
 from .documents import _docs, _tree
-from .registry import query, table
+from .registry import query, spread, table
 
 _BASE = """
 base AS (SELECT doc_id AS intake_id, 'title' AS field, 'Item ' || doc_id || ' of ' || source AS value FROM documents
@@ -269,3 +269,49 @@ def flags_and_spans(spark, sf_dir):
     rows = _docs(spark, sf_dir).select("doc_id", F.array("lang").alias("flags"), F.left(F.regexp_replace("text", "[^ -~]", ""), F.lit(40)).alias("text"))
     wide = rows.select("doc_id", "text", *rework.one_hot(F.col("flags"), names))
     return wide.select("doc_id", *names, F.array_join(rework.from_one_hot(names), "").alias("back"), rework.strip_span(F.col("text"), F.lit(5), F.lit(10)).alias("stripped"))
+
+
+_HEADING = f"(?m){abstracts.LINE}{abstracts.HEADING}"
+
+
+@query(rf"""
+WITH p AS (SELECT doc_id, 'Item ' || doc_id || chr(10) || ['Abstract: ', '摘要' || chr(10), 'Summary ', ''][doc_id % 4 + 1] || substring(coalesce(text, ''), 1, 700) AS p0,
+    ['Keywords owls ', '1 Introduction ', ''][doc_id % 3 + 1] || substring(coalesce(text, ''), 701, 800) AS p1, substring(coalesce(text, ''), 1501) AS p2 FROM documents),
+f AS (SELECT doc_id, p0 || chr(10) || chr(10) || p1 || chr(10) AS front, front || chr(10) || p2 || chr(10) AS whole FROM p),
+r AS (SELECT *, regexp_replace(regexp_extract(whole, '{_HEADING}((?s:.*))', 3), '([。.])\s+({abstracts.NEXT})', '\1' || chr(10) || '\2', 'g') AS rest FROM f),
+a AS (SELECT *, trim(regexp_replace(left(regexp_split_to_array(rest, '(?im){abstracts.LINE}{abstracts.NEXT}')[1], {abstracts.MOST}), '\s+', ' ', 'g')) AS own,
+  nullif(trim(regexp_replace(left(front, {abstracts.FRONT}), '\s+', ' ', 'g')), '') AS first_pages FROM r)
+SELECT doc_id, CASE WHEN length(own) >= {abstracts.LEAST} THEN own ELSE first_pages END AS abstract,
+  CASE WHEN length(own) >= {abstracts.LEAST} THEN CASE WHEN regexp_extract(whole, '{_HEADING}', 1) <> '' THEN 'heading-cn' ELSE 'heading-en' END
+    WHEN first_pages IS NOT NULL THEN 'fallback-first-pages' END AS reason FROM a""")
+def paper_abstracts(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    pages = F.array(
+        F.concat(F.lit("Item "), F.col("doc_id").cast("string"), F.lit("\n"), _pick("doc_id", "Abstract: ", "摘要\n", "Summary ", ""), F.substring(text, 1, 700)),
+        F.concat(_pick("doc_id", "Keywords owls ", "1 Introduction ", ""), F.substring(text, 701, 800)),
+        F.expr("substring(coalesce(text, ''), 1501)"),
+    )
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return abstracts.paper_abstracts(docs.select("doc_id", F.posexplode(pages).alias("page", "text")))
+
+
+@query("""
+SELECT source AS shelf, count(*) AS n, count(DISTINCT word) AS words, true AS words_close, true AS lengths_close
+FROM (SELECT source, unnest(string_split(lower(text), ' ')) AS word FROM documents) GROUP BY source""")
+def shelf_sketches(spark, sf_dir):
+    """Sketches of even documents, merged with those of odd ones, against exact counts and ranks of all words."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    words = docs.select("doc_id", "source", F.explode(F.split(F.lower("text"), " ", -1)).alias("word")).withColumn("size", F.char_length("word"))
+    half = lambda odd: sketches.sketched(words.where(F.col("doc_id") % 2 == odd), "source", F.col("word"), F.col("size"))
+    about = sketches.statistics(sketches.merged(half(0), half(1))).withColumnRenamed("distinct", "about")
+    sizes = words.groupBy("source", "word", "size").count().groupBy("source", "size").agg(F.sum("count").alias("rows"), F.count("*").alias("words"))
+    met = F.broadcast(about).join(sizes, F.col("shelf").eqNullSafe(F.col("source")))
+    low = [F.sum(F.when(F.col("size") < F.col("quantiles")[i], F.col("rows")).otherwise(0)) for i in range(3)]
+    high = [F.sum(F.when(F.col("size") <= F.col("quantiles")[i], F.col("rows")).otherwise(0)) for i in range(3)]
+    n, error = F.first("n"), 2 * sketches.RANK_ERROR
+    close = [(low[i] / n - error <= r) & (high[i] / n + error >= r) for i, r in enumerate((0.25, 0.5, 0.75))]
+    return met.groupBy("shelf").agg(
+        n.alias("n"), F.sum("words").alias("words"),
+        (F.abs(F.first("about") - F.sum("words")) <= 1.5 * sketches.DISTINCT_ERROR * F.sum("words")).alias("words_close"),
+        (close[0] & close[1] & close[2]).alias("lengths_close"),
+    )
