@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,18 @@ class Profile:
         return out
 
 
+class Embedder(Protocol):
+    """Gives rows a column embedding (array<float>, dims long) of what is in their column text."""
+
+    def __call__(self, rows: DataFrame, text: str, dims: int) -> DataFrame: ...
+
+
+class Scorer(Protocol):
+    """How well a text answers a query: the column by which reranking sorts, highest first."""
+
+    def __call__(self, text: Column, query: str) -> Column: ...
+
+
 @dataclass
 class Library:
     """Books of one folder: nodes, chunks with vectors, items and their curation.
@@ -50,6 +63,8 @@ class Library:
     spark: SparkSession
     path: str
     profile: Profile = field(default_factory=Profile)
+    embedder: Embedder = search.hash_vectors
+    scorer: Scorer = search.lexical_score
 
     @property
     def store(self) -> versions.Store:
@@ -66,11 +81,17 @@ class Library:
         if bad := self.profile.problems():
             raise ValueError("; ".join(bad))
 
+    def _embedded(self, rows: DataFrame) -> DataFrame:
+        """rows with their vectors; a vector of another length than the profile's fails the job."""
+        found, size = self.embedder(rows, "text", self.profile.dim), F.size("embedding")
+        wrong = F.raise_error(F.concat(F.lit("a vector of another length than the profile's: "), size.cast("string")))
+        return found.withColumn("embedding", F.when(size == self.profile.dim, F.col("embedding")).otherwise(wrong))
+
     def plan(self, docs: DataFrame, blocks: DataFrame, toc: DataFrame) -> dict[str, DataFrame]:
         """Nodes, chunks and stamps of documents (doc_id, title) from their blocks, as ingest would publish them."""
         shelf = F.floor(F.col("doc_id") / 1000).cast("long").alias("shelf")
         nodes = sinks.stored(structure.plan_tree(blocks, toc, docs.select("doc_id", "title"), whole=True))
-        found = search.hash_vectors(chunks.plan_chunks(nodes), "text", self.profile.dim)
+        found = self._embedded(chunks.plan_chunks(nodes))
         stamps = docs.select("doc_id", shelf, self._print().alias("fingerprint")).where("doc_id is not null").distinct()
         return {"nodes": nodes.select("*", shelf), "chunks": found.select("*", shelf), "stamps": stamps}
 
@@ -201,7 +222,7 @@ class Library:
         if n < stamps.count():
             self._same_dim(begun)
         old = self.table("chunks", begun).drop("embedding").join(todo.select("doc_id"), "doc_id", "left_semi")
-        new = {"chunks": search.hash_vectors(old, "text", self.profile.dim), "stamps": todo.withColumn("fingerprint", self._print())}
+        new = {"chunks": self._embedded(old), "stamps": todo.withColumn("fingerprint", self._print())}
         self.store.publish(new, todo, begun, {"dim": self.profile.dim})
         return n
 
@@ -250,7 +271,7 @@ class Library:
         if not text.strip():
             raise ValueError("an empty query has no vector")
         one = self.spark.createDataFrame([(text,)], "text string")
-        return list(search.hash_vectors(one, "text", self.profile.dim).first()["embedding"])
+        return list(self._embedded(one).first()["embedding"])
 
     def search(self, text: str, k: int = 10, doc_id: int | None = None, exclude: tuple[int, ...] = ()) -> DataFrame:
         """The k nearest passages, each with its breadcrumb; in one document, or in all but some."""
@@ -268,7 +289,7 @@ class Library:
         else:
             hits = self._nearest(store, self.embed(text), most, bool(exclude))
         if self.profile.reranker:
-            hits = search.rerank(hits, search.lexical_score(F.col("text"), text), self.profile.top_k_in, self.profile.top_k_out, k, "start_node_id")
+            hits = search.rerank(hits, self.scorer(F.col("text"), text), self.profile.top_k_in, self.profile.top_k_out, k, "start_node_id")
         # only the trees of the documents that were hit are walked
         near = self.table("nodes").join(F.broadcast(hits.select("doc_id").distinct()), "doc_id", "left_semi")
         crumbs = structure.breadcrumbs(near).select(F.col("node_id").alias("start_node_id"), "breadcrumb")

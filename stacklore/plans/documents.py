@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import library
 from ..functions import identifiers as ids
 from ..functions import text as tx
-from ..operators import book_audit, chunks, dedup, distill, lexical, paper_audit, promotion, quality, references, search, sequences, sinks, structure
+from ..operators import book_audit, chunks, dedup, distill, lexical, paper_audit, promotion, quality, references, search, sequences, sinks, structure, table_functions
 from ..sources import html
 from .registry import query, spread, table
 
@@ -168,6 +168,14 @@ def html_blocks(spark, sf_dir):
     return html.html_blocks(table(spark, sf_dir, "pages"))
 
 
+@query()
+def chunk_windows(spark, sf_dir):
+    """Windows of whole texts, cut by a table function in SQL."""
+    table_functions.register(spark)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spark.sql("SELECT doc_id, w.* FROM {docs}, LATERAL chunk_windows(text) AS w", docs=docs)
+
+
 @query("""
 WITH x AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
 SELECT conv_id, turn, role, CAST(sum(CASE WHEN before IS NOT NULL AND before <> role THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS run FROM x""")
