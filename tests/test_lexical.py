@@ -56,6 +56,23 @@ def test_equal_to_plain_bm25(spark, docs, block, monkeypatch):
     assert all(abs(g[3] - w[3]) < 1e-8 for g, w in zip(got, want, strict=True))
 
 
+@pytest.mark.parametrize("clash", [False, True])
+def test_many_queries_make_no_rows_of_pairs(spark, docs, monkeypatch, clash):
+    monkeypatch.setattr(lexical, "BLOCK", 16)
+    monkeypatch.setattr(lexical, "MOST_PAIRS", 0)
+    monkeypatch.setattr(lexical, "PART", 50)
+    monkeypatch.setattr(lexical, "GROUP", 100)
+    if clash:
+        monkeypatch.setattr(lexical, "_number", lambda term: F.char_length(term))
+    monkeypatch.setattr(lexical, "_scored", None)  # the way by bounds is not taken
+    index = lexical.build(spark.createDataFrame(docs, "doc_id long, text string"))
+    queries = [d for d in docs if d[0] % 25 == 0 or d[0] > 2000] + [(-1, "nothing of this"), (-2, "w0 w59 w58")]
+    got = sorted(tuple(r) for r in lexical.search(spark.createDataFrame(queries, "doc_id long, text string"), index, 7).collect())
+    want = plain(docs, queries, 7)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(abs(g[3] - w[3]) < 1e-8 for g, w in zip(got, want, strict=True))
+
+
 def test_blocks_are_skipped(spark, docs, monkeypatch):
     monkeypatch.setattr(lexical, "BLOCK", 16)
     index = lexical.build(spark.createDataFrame(docs, "doc_id long, text string"))
