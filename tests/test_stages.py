@@ -135,3 +135,11 @@ def test_reaudit_under_curated_values(spark, library, items):
 def test_head_of_a_page(spark, page, title, lang, author):
     r = html.html_biblio(spark.createDataFrame([(1, page)], "page_id long, html string")).first()
     assert (r.title, r.lang, r.author) == (title, lang, author)
+
+
+def test_references_of_a_page_are_read_as_the_caller_says(spark):
+    page = '<html lang="de"><title>a &amp; b&lt;c &quot;d&quot; e&&amp</title><meta name=author content="A &amp; B">'
+    rows = spark.createDataFrame([(1, page), (2, "<title>x\u00a0\ty</title>"), (3, None)], "page_id long, html string")
+    found = {r.page_id: (r.title, r.lang, r.author) for r in html.html_biblio(rows, decode=html.usual_references).collect()}
+    assert found == {1: ("a & b<c &quot;d&quot; e&&amp", "de", "A & B"), 2: ("x\u00a0 y", None, None), 3: (None, None, None)}
+    assert html.html_biblio(rows).where("page_id = 1").first().title == 'a & b<c "d" e&&'
