@@ -49,6 +49,15 @@ def test_gives_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+def test_letters_without_one_capital(spark, tmp_path):
+    texts = [(1, "ßa line\nplain"), (2, "ﬁrst\nŉ x"), (3, "été")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    own = QUERIES["distill_pages"](spark, str(tmp_path)).toPandas()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows(own) == rows(c.sql(SQL["distill_pages"]).df())
+
+
 def test_entry(spark):
     import __spark_entry__
 
