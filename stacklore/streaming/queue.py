@@ -4,7 +4,8 @@ Jobs are kept in buckets by the first letters of their ids, so that a cancel by
 every job that it could mean. Ids are hashes; a bucket holds a handful of open jobs, and a
 job that has ended is kept only as long as it may be asked for again. A job that was
 started and is not heard of for the length of a lease is pending again: by the next command
-of its bucket, or by the bucket's timer once the watermark has passed.
+that means it, or by its bucket's timer once the watermark has passed. A command for another job
+ends no lease, so what is logged does not hang on which jobs share a bucket.
 """
 
 from __future__ import annotations
@@ -33,19 +34,23 @@ class Bucket:
     lease: int
     jobs: dict[str, list] = field(default_factory=dict)
 
-    def expired(self, now: int) -> Iterator[tuple]:
-        """Jobs whose lease ended before now are pending again."""
-        for job, (state, until) in sorted(self.jobs.items(), key=lambda x: (x[1][1] or 0, x[0])):
+    def expired(self, now: int, only: list[str] | None = None) -> Iterator[tuple]:
+        """Jobs (all, or some) whose lease ended before now are pending again."""
+        own = [(job, self.jobs[job]) for job in (self.jobs if only is None else only) if job in self.jobs]
+        for job, (state, until) in sorted(own, key=lambda x: (x[1][1] or 0, x[0])):
             if state == "running" and until < now:
                 self.jobs[job] = ["pending", None]
                 yield job, until, None, "running", "pending", "lease ended"
 
     def apply(self, ts: int, seq: int, command: str, job: str) -> Iterator[tuple]:
         """The changes that a command brings about; a command that cannot be obeyed is a row whose state stays."""
-        yield from self.expired(ts)
         if command == "cancel":
-            yield self._cancel(ts, seq, job)
+            fitting = [j for j in self.jobs if j.startswith(job)]
+            if len(fitting) == 1:  # a cancel that is refused means no job
+                yield from self.expired(ts, fitting)
+            yield self._cancel(ts, seq, job, fitting)
             return
+        yield from self.expired(ts, [job])
         was = self.jobs[job][0] if job in self.jobs else None
         if command == "enqueue" and was is None:
             self.jobs[job] = ["pending", None]
@@ -62,8 +67,7 @@ class Bucket:
         if now != was:
             yield job, ts, seq, was, now, None
 
-    def _cancel(self, ts: int, seq: int, prefix: str) -> tuple:
-        found = [job for job in self.jobs if job.startswith(prefix)]
+    def _cancel(self, ts: int, seq: int, prefix: str, found: list[str]) -> tuple:
         if len(found) != 1:
             return prefix, ts, seq, None, None, "refused: ambiguous prefix" if found else "refused: no such job"
         was = self.jobs.pop(found[0])[0]
@@ -90,12 +94,12 @@ def changes(commands: DataFrame, lease: str = "1 hour", late: str = "10 minutes"
 
     def of(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         bucket = Bucket(lease_us, json.loads(state.get[0]) if state.exists else {})
-        if state.hasTimedOut:
-            out = list(bucket.expired(state.getCurrentWatermarkMs() * 1000))
-        else:
+        # a bucket that is always busy has no timer: what the watermark has passed ends before its commands, which are all later
+        out = list(bucket.expired(state.getCurrentWatermarkMs() * 1000))
+        if not state.hasTimedOut:
             rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
             times = rows["ts"].astype("datetime64[us]").astype("int64")
-            out = [c for row in zip(times, rows["seq"], rows["command"], rows["job_id"], strict=True) for c in bucket.apply(*row)]
+            out += [c for row in zip(times, rows["seq"], rows["command"], rows["job_id"], strict=True) for c in bucket.apply(*row)]
         if bucket.jobs:
             state.update((json.dumps(bucket.jobs),))
             if ends := [until for _, until in bucket.jobs.values() if until is not None]:

@@ -59,6 +59,19 @@ def test_a_lease_ends_by_timer_and_survives_a_restart(spark, tmp_path):
     assert {r.job_id: r.state for r in queue.current(run(spark, tmp_path, lease="30 minutes")).collect()} == {"aa1": "done", "bb1": "done", "cc1": "pending"}
 
 
+def test_a_command_for_another_job_ends_no_lease(spark, tmp_path):
+    # aa1's lease ends at 31, aa2 shares its bucket and is heard of at 35, and the watermark stands at 26
+    put(spark, f"{tmp_path}/in", (0, 1, "enqueue", "aa1"), (1, 2, "start", "aa1"), (35, 3, "enqueue", "aa2"), (36, 4, "cancel", "aa"))
+    log = run(spark, tmp_path, lease="30 minutes")
+    assert log.where("note = 'lease ended'").count() == 0
+    assert {r.job_id: r.state for r in queue.current(log).collect()} == {"aa1": "running", "aa2": "pending"}
+    # a command for the job itself does, and so does the watermark in a bucket that is busy
+    put(spark, f"{tmp_path}/in", (37, 5, "start", "aa1"), (38, 6, "start", "aa2"), (90, 7, "enqueue", "aa3"))
+    put(spark, f"{tmp_path}/in", (91, 8, "enqueue", "aa4"))
+    ended = run(spark, tmp_path, lease="30 minutes").where("note = 'lease ended'").collect()
+    assert sorted((r.job_id, r.ts) for r in ended) == [("aa1", at(31)), ("aa1", at(67)), ("aa2", at(68))]
+
+
 def test_batches_and_restarts_give_what_a_loop_gives(spark, tmp_path):
     r = random.Random(4)
     jobs = [f"{a}{b}{i}" for a in "ab" for b in "xy" for i in range(4)]
