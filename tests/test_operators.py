@@ -246,3 +246,14 @@ def test_cells_prune_and_find(spark):
     vector = store.where("vec_id = 5").first()["embedding"]
     exact = [r.vec_id for r in search.top_k(store, vector, 5).collect()]
     assert [r.vec_id for r in search.probe(indexed, centres, vector, 5, len(centres)).collect()] == exact
+
+
+def test_trigrams_are_all_runs_of_three_characters(spark):
+    from stacklore.operators import references
+
+    texts = ["", "ab", "abc", "abcabcab", "a\nb\n\nc", "x😀y😀zé", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "entry_id long, text string")
+    got = {(r.entry_id, r.gram) for r in references.trigram_index(df, "text").collect()}
+    assert got == {(i, t[j : j + 3]) for i, t in enumerate(texts) if t for j in range(len(t) - 2)}
+    plan = references.trigram_index(df, "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_zip" not in plan  # texts are not taken apart into characters
