@@ -164,7 +164,12 @@ def addresses(nodes: DataFrame) -> DataFrame:
 
 def resolve(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """(doc_id, scope, node_id, state) of asked (doc_id, scope): found, not_found, or ambiguous, which has no node."""
-    known = addresses(nodes).groupBy("doc_id", "scope").agg(F.count("*").alias("_n"), F.min("node_id").alias("_id"))
+    return resolve_in(addresses(nodes), asked)
+
+
+def resolve_in(own: DataFrame, asked: DataFrame) -> DataFrame:
+    """As resolve, with the addresses (doc_id, node_id, scope) of the nodes as they were worked out before."""
+    known = own.groupBy("doc_id", "scope").agg(F.count("*").alias("_n"), F.min("node_id").alias("_id"))
     state = F.when(F.col("_n").isNull(), "not_found").when(F.col("_n") > 1, "ambiguous").otherwise("found")
     return asked.join(known, ["doc_id", "scope"], "left").select("doc_id", "scope", F.when(F.col("_n") == 1, F.col("_id")).alias("node_id"), state.alias("state"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
-from ..operators import abstracts, rework, sketches, trails
+from ..operators import abstracts, rework, sinks, sketches, trails
 from .catalogue import _ITEMS, _OVER, _items, _overrides, _pick
 from .documents import _docs, _tree
 from .registry import query, spread, table
@@ -141,10 +141,10 @@ SELECT doc_id, CASE WHEN n = 1 THEN 'found' ELSE 'ambiguous' END AS state, count
 UNION ALL SELECT doc_id, 'not_found', 1 FROM documents UNION ALL SELECT doc_id, 'book', 1 FROM documents""")
 def resolved_addresses(spark, sf_dir):
     """Every leaf's address, one that is not there and the book's, resolved; states counted by document (equal lines are ambiguous)."""
-    nodes = _tree(spark, sf_dir)[2]
-    leaves = trails.addresses(nodes).where("scope like 'leaf:%'").select("doc_id", "scope").distinct()
+    own = sinks.stored(trails.addresses(_tree(spark, sf_dir)[2]))  # read twice, so the trees are worked out once
+    leaves = own.where("scope like 'leaf:%'").select("doc_id", "scope").distinct()
     every = _docs(spark, sf_dir).select("doc_id", F.explode(F.array(F.lit("leaf:none"), F.lit("book"))).alias("scope"))
-    found = trails.resolve(nodes, leaves.unionByName(every))
+    found = trails.resolve_in(own, leaves.unionByName(every))
     state = F.when(F.col("scope") == "book", F.when(F.col("node_id") == F.col("doc_id") * 100_000_000 + 1, "book").otherwise("wrong")).otherwise(F.col("state"))
     return found.groupBy("doc_id", state.alias("state")).agg(F.count("*").alias("leaves"))
 

@@ -186,3 +186,10 @@ def test_addresses_and_crumbs(spark):
     assert rows(trails.resolve(nodes, asked), "scope", "node_id", "state") == [("book", 10, "found"), ("leaf:x", None, "ambiguous"), ("leaf:y", None, "not_found"), ("part:p", 11, "found")]
     crumb = lambda *x: spark.range(1).select(trails.paper_breadcrumb(*[F.lit(v).cast("string") for v in x], F.lit(7)).alias("c")).first().c
     assert [crumb("Proc", "T", "s"), crumb(None, " ", "s"), crumb("", None, "")] == ["Proc › T", "s", "paper #7"]
+
+
+def test_addresses_worked_out_before_resolve_alike(spark):
+    own = spark.createDataFrame([(1, 11, "book"), (1, 12, "leaf:a"), (1, 13, "leaf:b"), (1, 14, "leaf:b")], "doc_id long, node_id long, scope string")
+    asked = spark.createDataFrame([(1, "book"), (1, "leaf:a"), (1, "leaf:b"), (1, "leaf:c"), (2, "book")], "doc_id long, scope string")
+    found = {(r.doc_id, r.scope): (r.node_id, r.state) for r in trails.resolve_in(own, asked).collect()}
+    assert found == {(1, "book"): (11, "found"), (1, "leaf:a"): (12, "found"), (1, "leaf:b"): (None, "ambiguous"), (1, "leaf:c"): (None, "not_found"), (2, "book"): (None, "not_found")}
