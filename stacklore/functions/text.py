@@ -31,9 +31,10 @@ NFKC_STABLE = (
 )
 
 
-def nfkc(s: Column) -> Column:
-    """NFKC form; only texts with a character that it could change leave the JVM."""
-    return F.coalesce(_nfkc(F.when(s.rlike(f"[^{NFKC_STABLE}]"), s)), s)
+def nfkc(s: Column, wanted: Column | None = None) -> Column:
+    """NFKC form; only texts with a character that it could change (and of these only the wanted ones) leave the JVM."""
+    rare = s.rlike(f"[^{NFKC_STABLE}]")
+    return F.coalesce(_nfkc(F.when(rare if wanted is None else wanted & rare, s)), s)
 
 
 def unify_line_ends(s: Column) -> Column:
@@ -67,9 +68,23 @@ def _once(s: Column, f) -> Column:
     return F.transform(F.array(s), f)[0]
 
 
+#: words of letters and signs that no step of normalize changes, with one blank, line break or blank line between two
+_PLAIN_WORD = (
+    r"(?:[!-~]++|[\x{A1}-\x{A7}\x{A9}\x{AB}\x{AC}\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}]++)++"
+)
+PLAIN = rf"\A(?:{_PLAIN_WORD}(?:(?: |\n\n?+){_PLAIN_WORD})*+)?+\z"
+
+
 def normalize(s: Column) -> Column:
-    """Frozen form of a text: its hash says that two passages are the same. The order of the steps is part of it."""
-    s = nfkc(unify_line_ends(s))
+    """Frozen form of a text: its hash says that two passages are the same. The order of the steps is part of it.
+
+    Most texts are plain and stay as they are, which one look tells; only the others go through the steps.
+    """
+    return F.when(s.rlike(PLAIN), s).otherwise(_steps(s))
+
+
+def _steps(s: Column) -> Column:
+    s = nfkc(unify_line_ends(s), ~s.rlike(PLAIN))
     # translate looks every character up in a map, so only texts with something to translate go there
     rare = "".join(f"\\x{{{ord(c):x}}}" for c in INVISIBLE + UNIFIED)
     s = _once(s, lambda x: F.when(x.rlike(f"[{rare}]"), unify_punctuation(strip_invisible(x))).otherwise(x))

@@ -15,13 +15,21 @@ DEPTHS = 8
 
 
 def text_blocks(docs: DataFrame, level: Column) -> DataFrame:
-    """One block for each line that is not blank; level (of column line) makes it a heading."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|[\r\n]")).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.trim(F.translate("line", "　\t", "  "))).where("line <> ''")
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    return lines.select(
+    """One block for each line that is not blank; level (of column line) makes it a heading.
+
+    Lines are numbered in the row that has them, so texts are not shuffled; only where ids are
+    repeated are the lines of all rows of an id numbered together.
+    """
+    plain = lambda x: F.trim(F.replace(F.replace(x, F.lit("\u3000"), F.lit(" ")), F.lit("\t"), F.lit(" ")))
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\r\n|[\r\n]"), lambda x, i: F.struct(i.alias("line_no"), plain(x).alias("line"))), lambda x: x["line"] != "")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = docs.select("doc_id", F.posexplode(lines).alias("block_idx", "x")).select("doc_id", "block_idx", "x.line")
+    else:
+        order = Window.partitionBy("doc_id").orderBy("line_no")
+        rows = docs.select("doc_id", F.inline(lines)).select("doc_id", (F.row_number().over(order) - 1).alias("block_idx"), "line")
+    return rows.select(
         "doc_id",
-        (F.row_number().over(order) - 1).alias("block_idx"),
+        "block_idx",
         F.when(level.isNotNull(), "heading").otherwise("body").alias("kind"),
         level.alias("level"),
         F.col("line").alias("text"),
@@ -67,82 +75,108 @@ def skeleton(toc: DataFrame) -> DataFrame:
     return out.select(*toc.columns, path.alias("path"))
 
 
+def _leaves(blocks: DataFrame, toc: DataFrame, orgs: DataFrame) -> DataFrame:
+    """blocks that are leaves, with owner, its path, their number in the document (doc_order) and among their owner's leaves (ordinal), and the number of entries.
+
+    Blocks and entries go through the windows of a document as one stream, so texts are shuffled once.
+    """
+    kept = ("kind", "text", "source_unit")
+    entries = orgs.where("doc_id is not null").select(
+        "doc_id", F.col("start_block").alias("at"), F.lit(0).alias("is_block"), F.struct("entry_idx", "path").alias("entry"), normalize(F.col("label")).alias("_norm"),
+        *[F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in kept],
+    )
+    # only a heading can repeat a label, so only headings are compared
+    heading = F.col("kind") == "heading"
+    both = entries.unionByName(
+        blocks.where("doc_id is not null").select(
+            "doc_id", F.col("block_idx").alias("at"), F.lit(1).alias("is_block"), F.lit(None).cast(entries.schema["entry"].dataType).alias("entry"),
+            normalize(F.when(heading, F.col("text"))).alias("_norm"), *kept,
+        )
+    )
+    # all windows are dealt by documents alone; entries without a place own nothing, and are counted
+    here = Window.partitionBy("doc_id").orderBy("at").rangeBetween(Window.currentRow, Window.currentRow)
+    so_far = Window.partitionBy("doc_id").orderBy("at", "is_block", "entry.entry_idx").rowsBetween(Window.unboundedPreceding, 0)
+    labels = F.collect_set(F.when((F.col("is_block") == 0) & F.col("at").isNotNull(), F.col("_norm"))).over(here)
+    repeated = F.coalesce(heading & F.array_contains(labels, F.col("_norm")), F.lit(False))
+    told = both.withColumn("_leaf", ((F.col("is_block") == 1) & ~repeated).cast("int"))
+    told = told.withColumn("_before", F.sum("_leaf").over(so_far))
+    owner = F.when((F.col("is_block") == 0) & F.col("at").isNotNull(), F.struct("entry.entry_idx", "entry.path", "_before"))
+    told = told.withColumn("_owner", F.last(owner, ignorenulls=True).over(so_far))
+    told = told.withColumn("entries", F.sum(1 - F.col("is_block")).over(Window.partitionBy("doc_id")))
+    return told.where("_leaf = 1").select(
+        "doc_id", F.col("at").alias("block_idx"), *kept, F.col("_owner.entry_idx").alias("owner"),
+        F.coalesce("_owner.path", F.array().cast("array<int>")).alias("path"), (F.col("_before") - 1).cast("int").alias("doc_order"),
+        (F.col("_before") - 1 - F.coalesce("_owner._before", F.lit(0))).cast("int").alias("ordinal"), "entries",
+    )
+
+
 def plan_tree(blocks: DataFrame, toc: DataFrame, titles: DataFrame, whole: bool = False) -> DataFrame:
     """Nodes of all documents: root, one for each contents entry, and leaves in reading order.
 
     A heading that repeats the label of an entry that starts there is no leaf. An
     organizing node spans its descendants (toc_lo, toc_hi); its subtree_sha256 is the hash
     of their normalized hashes, its own leaves before its children. titles: doc_id, title.
-    whole says that all columns will be read: the leaves' hashes, which are the dear part and
-    are needed in two places, are then worked out once, into a table in a shared folder.
+    whole says that all columns will be read: the leaves, which are the dear part and are
+    needed in two places, are then worked out once, into a table in a shared folder.
     """
-    labels = toc.where("start_block is not null").select(
-        "doc_id", F.col("start_block").alias("block_idx"), normalize(F.col("label")).alias("norm_label")
-    )
-    # only a heading can repeat a label, so only headings are compared
-    heads = blocks.where("kind = 'heading'").withColumn("norm_label", normalize(F.col("text")))
-    heads = heads.join(labels, ["doc_id", "block_idx", "norm_label"], "left_anti").drop("norm_label")
-    leaves = blocks.where("kind is distinct from 'heading'").unionByName(heads)
-    leaves = owners(leaves, toc)
     orgs = skeleton(toc)
-    order = Window.partitionBy("doc_id").orderBy("block_idx")
-    owner = orgs.select("doc_id", F.col("entry_idx").alias("owner"), "path")
-    leaves = leaves.withColumn("doc_order", F.row_number().over(order) - 1).join(owner, ["doc_id", "owner"], "left")
-    leaves = leaves.withColumn("path", F.coalesce("path", F.array().cast("array<int>"))).withColumn("norm_sha256", F.sha2(normalize(F.col("text")), 256))
+    base = F.col("doc_id") * SPACE + 1
+    null = lambda kind: F.lit(None).cast(kind)
+    text, norm = F.col("text"), F.sha2(normalize(F.col("text")), 256)
+    low = _leaves(blocks, toc, orgs).withColumn("norm_sha256", norm).select(
+        "doc_id", null("int").alias("entry_idx"),
+        (base + 1 + F.col("entries") + F.col("doc_order")).alias("node_id"),
+        F.when(F.col("owner").isNull(), base).otherwise(base + 1 + F.col("owner")).alias("parent_id"),
+        (F.size("path") + 1).alias("depth"), "ordinal",
+        F.when(F.col("kind") == "heading", "heading").otherwise("paragraph").alias("node_type"), null("string").alias("title"),
+        F.col("doc_order").alias("toc_lo"), F.col("doc_order").alias("toc_hi"),
+        F.col("source_unit").alias("page_lo"), F.col("source_unit").alias("page_hi"), null("string").alias("subtree_sha256"),
+        "text", F.char_length(text).alias("char_count"), sentence_count(text).alias("sentence_count"),
+        F.substring("norm_sha256", 1, 16).alias("stable_anchor"), F.sha2(text, 256).alias("text_sha256"), "norm_sha256", "path",
+    )
     if whole:
-        leaves = stored(leaves)
+        low = stored(low)
     # a row for each entry with leaves of its own; only these go up to their ancestors, not every leaf
-    own = leaves.groupBy("doc_id", "path").agg(
-        F.min("doc_order").alias("toc_lo"),
-        F.max("doc_order").alias("toc_hi"),
-        F.min("source_unit").alias("page_lo"),
-        F.max("source_unit").alias("page_hi"),
-        F.array_join(F.array_sort(F.collect_list(F.struct("doc_order", "norm_sha256")))["norm_sha256"], "").alias("hashes"),
+    own = low.groupBy("doc_id", "path").agg(
+        F.min("toc_lo").alias("toc_lo"),
+        F.max("toc_hi").alias("toc_hi"),
+        F.min("page_lo").alias("page_lo"),
+        F.max("page_hi").alias("page_hi"),
+        F.array_join(F.array_sort(F.collect_list(F.struct("toc_lo", "norm_sha256")))["norm_sha256"], "").alias("hashes"),
+        F.count("*").alias("leaves"),
     )
     # the root has path [] and is an ancestor of every leaf
     up = own.withColumn("entry_idx", F.explode(F.concat(F.array(F.lit(-1)), "path")))
+    mine = F.col("entry_idx") == F.when(F.size("path") == 0, -1).otherwise(F.try_element_at("path", F.lit(-1)))
     spans = up.groupBy("doc_id", "entry_idx").agg(
         F.min("toc_lo").alias("toc_lo"),
         F.max("toc_hi").alias("toc_hi"),
         F.min("page_lo").alias("page_lo"),
         F.max("page_hi").alias("page_hi"),
         F.array_sort(F.collect_list(F.struct("path", "hashes"))).alias("below"),
+        F.sum(F.when(mine, F.col("leaves")).otherwise(0)).alias("_leaves"),
     )
     spans = spans.withColumn("subtree_sha256", F.sha2(F.array_join(F.col("below.hashes"), ""), 256)).drop("below")
-    counts = toc.groupBy("doc_id").agg(F.count("*").alias("entries"))
-    base = F.col("doc_id") * SPACE + 1
-    null = lambda kind: F.lit(None).cast(kind)
     root = titles.select(
         "doc_id", F.lit(-1).alias("entry_idx"), base.alias("node_id"), null("bigint").alias("parent_id"),
-        F.lit(0).alias("depth"), F.lit(0).alias("ordinal"), F.lit("book").alias("node_type"), "title",
+        F.lit(0).alias("depth"), F.lit("book").alias("node_type"), "title",
     )
     named = orgs.select(
         "doc_id", "entry_idx", (base + 1 + F.col("entry_idx")).alias("node_id"),
         F.when(F.size("path") > 1, base + 1 + F.element_at("path", -2)).otherwise(base).alias("parent_id"),
-        F.size("path").alias("depth"), null("int").alias("ordinal"),
+        F.size("path").alias("depth"),
         F.when(F.col("depth") == 0, "chapter").when(F.col("depth") == 1, "section").otherwise("subsection").alias("node_type"),
         F.col("label").alias("title"),
     )
-    upper = root.unionByName(named).join(spans, ["doc_id", "entry_idx"], "left").select(
-        "*", null("string").alias("text"), null("int").alias("char_count"), null("int").alias("sentence_count"),
-        null("string").alias("stable_anchor"), null("string").alias("text_sha256"), null("string").alias("norm_sha256"),
-    )
-    low = leaves.join(counts, "doc_id", "left").select(
-        "doc_id", null("int").alias("entry_idx"),
-        (base + 1 + F.coalesce("entries", F.lit(0)) + F.col("doc_order")).alias("node_id"),
-        F.when(F.col("owner").isNull(), base).otherwise(base + 1 + F.col("owner")).alias("parent_id"),
-        (F.size("path") + 1).alias("depth"), null("int").alias("ordinal"),
-        F.when(F.col("kind") == "heading", "heading").otherwise("paragraph").alias("node_type"), null("string").alias("title"),
-        F.col("doc_order").alias("toc_lo"), F.col("doc_order").alias("toc_hi"),
-        F.col("source_unit").alias("page_lo"), F.col("source_unit").alias("page_hi"), null("string").alias("subtree_sha256"),
-        "text", F.char_length("text").alias("char_count"), sentence_count(F.col("text")).alias("sentence_count"),
-        F.substring("norm_sha256", 1, 16).alias("stable_anchor"), F.sha2("text", 256).alias("text_sha256"), "norm_sha256",
-    )
-    nodes = upper.unionByName(low)
-    # leaves come before organizing nodes among the children of a node
-    siblings = Window.partitionBy("doc_id", "parent_id").orderBy(F.col("entry_idx").isNotNull(), "node_id")
-    ordinal = F.when(F.col("parent_id").isNull(), 0).otherwise(F.row_number().over(siblings) - 1)
-    return nodes.withColumn("ordinal", ordinal).drop("entry_idx")
+    upper = root.unionByName(named).join(spans, ["doc_id", "entry_idx"], "left")
+    # leaves come before organizing nodes among the children of a node: those of the parent, which is one of the rows
+    siblings = Window.partitionBy("doc_id", "parent_id").orderBy("node_id")
+    parents = upper.select("doc_id", F.col("node_id").alias("parent_id"), F.col("_leaves").alias("_first")).where("_first > 0").distinct()
+    upper = upper.join(parents, ["doc_id", "parent_id"], "left")
+    ordinal = F.when(F.col("parent_id").isNull(), 0).otherwise(F.coalesce("_first", F.lit(0)) + F.row_number().over(siblings) - 1).cast("int")
+    upper = upper.withColumn("ordinal", ordinal).withColumns({c: null(low.schema[c].dataType) for c in ("text", "char_count", "sentence_count", "stable_anchor", "text_sha256", "norm_sha256")})
+    names = [c for c in low.columns if c not in ("entry_idx", "path")]
+    return (stored(upper.select(names)) if whole else upper.select(names)).unionByName(low.select(names))
 
 
 def breadcrumbs(nodes: DataFrame) -> DataFrame:

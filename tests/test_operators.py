@@ -257,3 +257,39 @@ def test_trigrams_are_all_runs_of_three_characters(spark):
     assert got == {(i, t[j : j + 3]) for i, t in enumerate(texts) if t for j in range(len(t) - 2)}
     plan = references.trigram_index(df, "text")._jdf.queryExecution().optimizedPlan().toString()
     assert "arrays_zip" not in plan  # texts are not taken apart into characters
+
+
+def test_a_tree_shuffles_its_texts_once(spark):
+    rows = [(1, "a\nthe words of a\n\n b \nmore of b"), (2, "x\nwords of x" * 3), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks = structure.text_blocks(docs, F.when(F.char_length("line") < 3, 1))
+    toc = structure.contents_of(blocks)
+    nodes = structure.plan_tree(blocks, toc, docs.select("doc_id", F.lit("T").alias("title")))
+    leaves = nodes.where("text is not null").select("doc_id", "node_id", "toc_lo", "ordinal", "text")
+    plan = leaves._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan  # the entries, and all together
+    assert [r.text for r in leaves.where("doc_id = 1").orderBy("toc_lo").collect()] == ["the words of a", "more of b"]
+
+
+def test_lines_of_repeated_ids_are_numbered_together(spark):
+    docs = spark.createDataFrame([(1, "a\n \n\tb　"), (1, "a\n \n\tb　"), (2, "c")], "doc_id long, text string")
+    found = structure.text_blocks(docs, F.lit(None).cast("int")).orderBy("doc_id", "block_idx").collect()
+    assert [(r.doc_id, r.block_idx, r.text) for r in found] == [(1, 0, "a"), (1, 1, "a"), (1, 2, "b"), (1, 3, "b"), (2, 0, "c")]
+
+
+def test_entries_without_a_place_or_at_one_place(spark):
+    blocks = spark.createDataFrame([(1, i, "body", t, 0) for i, t in enumerate(["front", "one", "two"])] + [(None, 0, "body", "lost", 0)], "doc_id long, block_idx int, kind string, text string, source_unit int")
+    toc = spark.createDataFrame([(1, 0, "A", 0, 1), (1, 1, "B", 1, 1), (1, 2, "C", 0, None)], "doc_id long, entry_idx int, label string, depth int, start_block int")
+    nodes = structure.plan_tree(blocks, toc, spark.createDataFrame([(1, "Book"), (2, "Bare")], "doc_id long, title string"), whole=True).collect()
+    by = {r.title or r.text: r for r in nodes}
+    assert len(nodes) == len(by) == 8 and by["Bare"].toc_lo is None
+    assert by["two"].parent_id == by["one"].parent_id == by["B"].node_id and (by["one"].ordinal, by["two"].ordinal) == (0, 1)
+    assert (by["front"].ordinal, by["A"].ordinal, by["C"].ordinal, by["B"].ordinal) == (0, 1, 2, 0) and by["front"].node_id == by["Book"].node_id + 4
+
+
+def test_plain_texts_are_as_normalize_leaves_them(spark):
+    texts = ["", " ", "a", "a b", "a  b", " a", "a ", "a\n\nb", "a\n\n\nb", "a \nb", "a\tb", "a\r\nb", "a\n", "été ß", "a b", "a­b", "“q”", "½", "ﬁ", "中 文", "x\u007fy", "é"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    same = rows.where(F.col("t").rlike(tx.PLAIN))
+    assert {r.t for r in same.collect()} == {"", "a", "a b", "a\n\nb", "été ß"}
+    assert same.where(tx._steps(F.col("t")) != F.col("t")).count() == 0
