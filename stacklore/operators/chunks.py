@@ -6,12 +6,16 @@ import bisect
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sinks import sliced
+
 #: version, characters of a chunk, characters that two chunks share, what joins leaves
 CHUNK_VERSION, TARGET, OVERLAP, JOIN = 1, 1000, 100, "\n\n"
+#: runs of leaves whose chunks a task holds at once
+RUNS = 256
 _LEVELS = [re.compile(p) for p in (r"\n+", r"[.!?;。！？；…]+\s*", r"\s+")]
 
 
@@ -62,11 +66,13 @@ def plan_chunks(nodes: DataFrame) -> DataFrame:
     runs = runs.withColumn("run", F.sum("new").over(order))
     groups = runs.groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("toc_lo", "node_id", "text"))).alias("leaf"))
     groups = groups.select("doc_id", "run", F.col("leaf.node_id").alias("ids"), F.col("leaf.text").alias("texts"))
+    long, int_ = pa.int64(), pa.int32()
+    kinds = {"doc_id": long, "run": long, "part": int_, "text": pa.string(), "start_node_id": long, "start_char": int_, "end_node_id": long, "end_char": int_}
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, RUNS):
             rows = []
-            for doc, run, ids, texts in batch.itertuples(index=False):
+            for doc, run, ids, texts in zip(*map(pa.Array.to_pylist, batch.columns), strict=True):
                 whole, starts, at = JOIN.join(texts), [], 0
                 for text in texts:
                     starts.append(at)
@@ -77,9 +83,9 @@ def plan_chunks(nodes: DataFrame) -> DataFrame:
                     rows.append(
                         (doc, run, i, whole[a:b], ids[first], min(a - starts[first], len(texts[first])), ids[last], min(b - starts[last], len(texts[last])))
                     )
-            yield pd.DataFrame(rows, columns=["doc_id", "run", "part", "text", "start_node_id", "start_char", "end_node_id", "end_char"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds.values(), strict=True)], list(kinds))
 
-    out = groups.mapInPandas(
+    out = groups.mapInArrow(
         of,
         "doc_id long, run long, part int, text string, start_node_id long, start_char int, end_node_id long, end_char int",
     )

@@ -293,3 +293,14 @@ def test_plain_texts_are_as_normalize_leaves_them(spark):
     same = rows.where(F.col("t").rlike(tx.PLAIN))
     assert {r.t for r in same.collect()} == {"", "a", "a b", "a\n\nb", "été ß"}
     assert same.where(tx._steps(F.col("t")) != F.col("t")).count() == 0
+
+
+def test_chunks_of_a_batch_are_made_in_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    assert [b.num_rows for b in sinks.sliced(iter([pa.RecordBatch.from_pydict({"x": list(range(5))})]), 2)] == [2, 2, 1]
+    rows = [(1, i, 10 + i % 7, i, f"leaf {i}") for i in range(20)]
+    nodes = spark.createDataFrame(rows, "doc_id long, node_id long, parent_id long, toc_lo int, text string").coalesce(1)
+    whole = [tuple(r) for r in chunks.plan_chunks(nodes).orderBy("chunk_idx").collect()]
+    monkeypatch.setattr(chunks, "RUNS", 3)
+    assert len(whole) == 20 and [tuple(r) for r in chunks.plan_chunks(nodes).orderBy("chunk_idx").collect()] == whole
