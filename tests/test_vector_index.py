@@ -85,3 +85,10 @@ def test_nothing_to_learn_from(clustered):
         vector_index.train(clustered.limit(0), "ivf-pq")
     with pytest.raises(ValueError):
         vector_index.train(clustered, "ivf-hnsw-pq")
+
+
+def test_a_block_of_distances_is_bounded(store, monkeypatch):
+    asked = store.where("vec_id % 50 = 0")
+    whole = sorted(tuple(r) for r in search.top_k_batch(asked, store, 5).collect())
+    monkeypatch.setattr(search, "DISTANCES", 1000)
+    assert sorted(tuple(r) for r in search.top_k_batch(asked, store, 5, query_block=4).collect()) == whole
