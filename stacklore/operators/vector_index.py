@@ -26,7 +26,7 @@ KINDS = ("ivf-flat", "ivf-sq", "ivf-pq")
 #: vectors that cells and pieces are learned from at most, rounds of learning, pieces of a run
 SAMPLE, ROUNDS, PIECES = 16_384, 10, 256
 #: rows of a cell, and queries, that one task scores; scores that it holds at once
-ROW_BLOCK, QUERY_BLOCK, SCORES = 16_384, 1024, 1 << 20
+ROW_BLOCK, QUERY_BLOCK, SCORES = 16_384, 4096, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -145,7 +145,9 @@ def search(queries: DataFrame, codes: DataFrame, store: DataFrame, index: Index,
 
     queries and store hold id_column and column, codes what encode gives. Distances are exact,
     ties go to the smaller id; with every cell probed and refine * k at least the rows, so are
-    the ranks. Queries without a usable vector have no rows.
+    the ranks. Queries without a usable vector have no rows. Where refine * k is at least the
+    rows, codes choose none of the probed rows, so tasks rank these by their vectors at once,
+    and only k rows of each query and block leave them.
     """
     probes, refine = min(probes or index.probes, len(index.centres)), refine or index.refine
     kept = k * refine
@@ -167,7 +169,10 @@ def search(queries: DataFrame, codes: DataFrame, store: DataFrame, index: Index,
     probing = asked.mapInPandas(spread, f"query_id {own}, x array<double>, cell int, rb int")
     left = probing.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).groupBy("cell", "rb", "qb")
     n_blocks = F.array(*[F.lit(max(1, int(n))) for n in blocks])[F.col("cell")]
-    dealt = codes.withColumn("rb", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
+    vectors = store.select(F.col(id_column).alias("id"), F.col(column).cast("array<double>").alias("y"))
+    every = kept >= sum(sizes.values())
+    rated = codes.drop("code").join(vectors, "id") if every else codes
+    dealt = rated.withColumn("rb", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
     right = dealt.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).groupBy("cell", "rb", "qb")
 
     def scored(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -186,10 +191,27 @@ def search(queries: DataFrame, codes: DataFrame, store: DataFrame, index: Index,
                 out.append(pd.DataFrame({"query_id": asked["query_id"].to_numpy()[part].repeat(m), "id": ids[best.ravel()], "score": value.ravel()}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": asked["query_id"].iloc[:0], "id": rows["id"].iloc[:0], "score": np.zeros(0)})
 
+    def ranked(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": asked["query_id"].iloc[:0], "id": rows["id"].iloc[:0], "distance": np.zeros(0)})]
+        if len(asked) and len(rows):
+            queries, ids, y, m = unit_rows(asked["x"], index.dims), rows["id"].to_numpy(), unit_rows(rows["y"], index.dims), min(k, len(rows))
+            step = max(1, SCORES // len(rows))
+            for at in range(0, len(queries), step):
+                own = asked["query_id"].to_numpy()[at : at + step]
+                far = np.round(1 - queries[at : at + step] @ y.T, 9)
+                far[own[:, None] == ids[None, :]] = np.inf
+                edge = np.partition(far, m - 1, axis=1)[:, m - 1]
+                r, c = np.nonzero((far <= edge[:, None]) & np.isfinite(far))
+                out.append(pd.DataFrame({"query_id": own[r], "id": ids[c], "distance": far[r, c]}))
+        return pd.concat(out)
+
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    if every:
+        found = left.cogroup(right).applyInPandas(ranked, f"query_id {own}, id {kind}, distance double")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
     rough = left.cogroup(right).applyInPandas(scored, f"query_id {own}, id {kind}, score double").where(F.col("score") > float("-inf"))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     rough = rough.withColumn("_r", F.row_number().over(by_score)).where(F.col("_r") <= kept).select("query_id", "id")
-    vectors = store.select(F.col(id_column).alias("id"), F.col(column).cast("array<double>").alias("y"))
     both = rough.join(vectors, "id").join(asked.select("query_id", F.col("x").cast("array<double>").alias("x")), "query_id")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,7 +220,6 @@ def search(queries: DataFrame, codes: DataFrame, store: DataFrame, index: Index,
             yield pd.DataFrame({"query_id": batch["query_id"], "id": batch["id"], "distance": np.round(distance, 9)})
 
     found = both.mapInPandas(exact, f"query_id {own}, id {kind}, distance double")
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 

@@ -92,3 +92,13 @@ def test_a_block_of_distances_is_bounded(store, monkeypatch):
     whole = sorted(tuple(r) for r in search.top_k_batch(asked, store, 5).collect())
     monkeypatch.setattr(search, "DISTANCES", 1000)
     assert sorted(tuple(r) for r in search.top_k_batch(asked, store, 5, query_block=4).collect()) == whole
+
+
+def test_ranking_every_code_again_makes_no_pairs(store):
+    """Where all probed rows are ranked again, only k rows of each query and block leave a task."""
+    asked = store.where("vec_id % 100 = 0")
+    index = vector_index.train(store, "ivf-sq")
+    codes = vector_index.encode(store, index).cache()
+    hits = vector_index.search(asked, codes, store, index, 5, probes=len(index.centres), refine=store.count())
+    assert hits._jdf.queryExecution().executedPlan().toString().count("Window ") == 1  # none over the pairs
+    assert sorted(tuple(r) for r in hits.collect()) == sorted(tuple(r) for r in search.top_k_batch(asked, store, 5).collect())
