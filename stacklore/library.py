@@ -90,7 +90,7 @@ class Library:
     def plan(self, docs: DataFrame, blocks: DataFrame, toc: DataFrame) -> dict[str, DataFrame]:
         """Nodes, chunks and stamps of documents (doc_id, title) from their blocks, as ingest would publish them."""
         shelf = F.floor(F.col("doc_id") / 1000).cast("long").alias("shelf")
-        nodes = sinks.stored(structure.plan_tree(blocks, toc, docs.select("doc_id", "title"), whole=True))
+        nodes = structure.plan_tree(blocks, toc, docs.select("doc_id", "title"), whole=True)  # stored there
         found = self._embedded(chunks.plan_chunks(nodes))
         stamps = docs.select("doc_id", shelf, self._print().alias("fingerprint")).where("doc_id is not null").distinct()
         return {"nodes": nodes.select("*", shelf), "chunks": found.select("*", shelf), "stamps": stamps}

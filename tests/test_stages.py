@@ -143,3 +143,13 @@ def test_references_of_a_page_are_read_as_the_caller_says(spark):
     found = {r.page_id: (r.title, r.lang, r.author) for r in html.html_biblio(rows, decode=html.usual_references).collect()}
     assert found == {1: ("a & b<c &quot;d&quot; e&&amp", "de", "A & B"), 2: ("x\u00a0 y", None, None), 3: (None, None, None)}
     assert html.html_biblio(rows).where("page_id = 1").first().title == 'a & b<c "d" e&&'
+
+
+def test_planned_nodes_are_stored_once(library, items, monkeypatch):
+    """plan_tree with all columns has stored its nodes; they are not written a second time."""
+    from stacklore.operators import sinks
+
+    seen, store = [], sinks.stored
+    monkeypatch.setattr(sinks, "stored", lambda df: seen.append(df.columns) or store(df))
+    library.dry_run(items.where("doc_id = 1"), level())
+    assert seen and not [c for c in seen if "node_id" in c]
