@@ -304,3 +304,11 @@ def test_chunks_of_a_batch_are_made_in_slices(spark, monkeypatch):
     whole = [tuple(r) for r in chunks.plan_chunks(nodes).orderBy("chunk_idx").collect()]
     monkeypatch.setattr(chunks, "RUNS", 3)
     assert len(whole) == 20 and [tuple(r) for r in chunks.plan_chunks(nodes).orderBy("chunk_idx").collect()] == whole
+
+
+def test_blocks_of_pages_are_made_in_slices(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"<h1>H{i}</h1><p>page {i}</p>" if i % 5 else None) for i in range(20)], "page_id long, html string").coalesce(1)
+    whole = sorted(tuple(map(str, r)) for r in html.html_blocks(pages).collect())
+    assert html.PAGES < 1000 and len(whole) == 32
+    monkeypatch.setattr(html, "PAGES", 3)
+    assert sorted(tuple(map(str, r)) for r in html.html_blocks(pages).collect()) == whole
