@@ -312,3 +312,10 @@ def test_blocks_of_pages_are_made_in_slices(spark, monkeypatch):
     assert html.PAGES < 1000 and len(whole) == 32
     monkeypatch.setattr(html, "PAGES", 3)
     assert sorted(tuple(map(str, r)) for r in html.html_blocks(pages).collect()) == whole
+
+
+def test_words_are_hashed_in_slices(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"word {i % 3} of {i}" if i % 4 else None) for i in range(20)], "i long, t string").coalesce(1)
+    whole = sorted(tuple(map(str, r)) for r in search.hash_vectors(rows, "t", 8).collect())
+    monkeypatch.setattr(search, "HASHED", 3)
+    assert len(whole) == 20 and sorted(tuple(map(str, r)) for r in search.hash_vectors(rows, "t", 8).collect()) == whole
