@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from .operators import catalog, chunks, lexical, search, sequences, sinks, stages, structure, vector_index, versions
 
 
+#: documents of a shelf, and of a part of one that a task works on: tasks then write few files, however many shelves there are
+SHELF, DEAL = 1000, 250
+
+
 @dataclass(frozen=True)
 class Profile:
     """How a library is indexed and searched."""
@@ -51,6 +55,16 @@ class Scorer(Protocol):
     def __call__(self, text: Column, query: str) -> Column: ...
 
 
+def _shelf() -> Column:
+    return F.floor(F.col("doc_id") / SHELF).cast("long").alias("shelf")
+
+
+def _good(report: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id) of items that no stage refused, and of those that have no such row."""
+    good = report.where("failed_at is null").select("doc_id").distinct()
+    return good, report.where("failed_at is not null").select("doc_id").join(good, "doc_id", "left_anti").distinct()
+
+
 @dataclass
 class Library:
     """Books of one folder: nodes, chunks with vectors, items and their curation.
@@ -87,13 +101,16 @@ class Library:
         wrong = F.raise_error(F.concat(F.lit("a vector of another length than the profile's: "), size.cast("string")))
         return found.withColumn("embedding", F.when(size == self.profile.dim, F.col("embedding")).otherwise(wrong))
 
-    def plan(self, docs: DataFrame, blocks: DataFrame, toc: DataFrame) -> dict[str, DataFrame]:
-        """Nodes, chunks and stamps of documents (doc_id, title) from their blocks, as ingest would publish them."""
-        shelf = F.floor(F.col("doc_id") / 1000).cast("long").alias("shelf")
-        nodes = structure.plan_tree(blocks, toc, docs.select("doc_id", "title"), whole=True)  # stored there
-        found = self._embedded(chunks.plan_chunks(nodes))
-        stamps = docs.select("doc_id", shelf, self._print().alias("fingerprint")).where("doc_id is not null").distinct()
-        return {"nodes": nodes.select("*", shelf), "chunks": found.select("*", shelf), "stamps": stamps}
+    def plan(self, docs: DataFrame, blocks: DataFrame, toc: DataFrame, draft: versions.Draft | None = None) -> dict[str, DataFrame]:
+        """Nodes, chunks and stamps of documents (doc_id, title) from their blocks, as ingest would publish them; written to draft, if there is one."""
+        by = F.floor(F.col("doc_id") / DEAL)
+        kept = None if draft is None else lambda rows: draft.put("nodes", rows.select("*", _shelf()), deal="path" not in rows.columns)
+        nodes = structure.plan_tree(blocks, toc, docs.select("doc_id", "title"), whole=True, kept=kept, by=by)  # stored there
+        found = self._embedded(chunks.plan_chunks(nodes, by)).select("*", _shelf())
+        stamps = docs.select("doc_id", _shelf(), self._print().alias("fingerprint")).where("doc_id is not null").distinct()
+        if draft is not None:
+            return {"nodes": nodes, "chunks": draft.put("chunks", found), "stamps": draft.put("stamps", stamps, deal=True)}
+        return {"nodes": nodes.select("*", _shelf()), "chunks": found, "stamps": stamps}
 
     def ingest(self, docs: DataFrame, level) -> int:
         """Structure, chunk and embed documents (doc_id, text, title); the number of the version that has them.
@@ -106,8 +123,9 @@ class Library:
         begun = self.store.version()
         self._same_dim(begun)
         blocks = structure.text_blocks(docs, level)
-        planned = self.plan(docs, blocks, structure.contents_of(blocks))
-        return self.store.publish(planned, docs.select("doc_id"), begun, {"dim": self.profile.dim})
+        draft = self.store.draft()
+        self.plan(docs, blocks, structure.contents_of(blocks), draft)
+        return self.store.publish(draft, docs.select("doc_id"), begun, {"dim": self.profile.dim})
 
     # --- from files, by stages ----------------------------------------------------
 
@@ -124,21 +142,22 @@ class Library:
         self._checked()
         begun = self.store.version()
         self._same_dim(begun)
-        planned = self._planned(stages.extract(items, extractors), level)
+        draft = self.store.draft()
+        # files come in any order, so envelopes are not dealt to shelves
+        written = lambda rows: draft.put("envelopes", rows.select("*", _shelf(), F.lit(stages.EXTRACTOR_VERSION).alias("version")), split=False)
+        planned = self._planned(stages.extract(items, extractors, written), level, draft=draft)
         report = sinks.stored(planned.report())
-        good = report.where("failed_at is null").select("doc_id").distinct()
-        shelf = F.floor(F.col("doc_id") / 1000).cast("long").alias("shelf")
-        envelopes = planned.extracted.select("*", shelf, F.lit(stages.EXTRACTOR_VERSION).alias("version"))
-        tables = planned.tables | {"envelopes": envelopes, "audits": planned.audits.select("*", shelf)}
-        self.store.publish({n: rows.join(good, "doc_id", "left_semi") for n, rows in tables.items()}, good, begun, {"dim": self.profile.dim})
+        good, bad = _good(report)
+        self.store.publish(draft, good, begun, {"dim": self.profile.dim}, bad)
         return report
 
-    def _planned(self, extracted: DataFrame, level, overrides: DataFrame | None = None) -> stages.Planned:
-        blocks = sinks.stored(stages.blocks_of(extracted, level))
+    def _planned(self, extracted: DataFrame, level, overrides: DataFrame | None = None, draft: versions.Draft | None = None) -> stages.Planned:
+        blocks = stages.blocks_of(extracted, level)
         toc = stages.contents_of(extracted, blocks)
-        audits = sinks.stored(stages.audit(extracted, blocks, toc, overrides))
+        audits = stages.audit(extracted, blocks, toc, overrides)
+        audits = sinks.stored(audits) if draft is None else draft.put("audits", audits.select("*", _shelf()), deal=True)
         titles = extracted.where("outcome = 'extracted' and doc_id is not null").select("doc_id", F.coalesce("title", stages.file_stem(F.col("name"))).alias("title"))
-        return stages.Planned(extracted, blocks, toc, audits, self.plan(titles, blocks, toc))
+        return stages.Planned(extracted, blocks, toc, audits, self.plan(titles, blocks, toc, draft))
 
     def rebuild(self, items: DataFrame, level, only: list[int] | None = None, version: int | None = None, dry: bool = False) -> DataFrame:
         """(doc_id, bucket, error) of items (doc_id, source_sha256) whose nodes and chunks are made again from their envelopes.
@@ -159,12 +178,13 @@ class Library:
         todo = sorted_.where("bucket = 'rebuilt'").select("doc_id")
         if todo.isEmpty():
             return sorted_.withColumn("error", F.lit(None).cast("string"))
-        planned = self._planned(found.join(todo, "doc_id", "left_semi"), level)
+        draft = None if dry else self.store.draft()
+        planned = self._planned(sinks.among(found, todo, "doc_id"), level, draft=draft)
         report = sinks.stored(planned.report()).select("doc_id", F.col("failed_at"), "error")
         if not dry:
             self._same_dim(begun)
-            good = report.where("failed_at is null").select("doc_id").distinct()
-            self.store.publish({n: rows.join(good, "doc_id", "left_semi") for n, rows in planned.tables.items()}, good, begun)
+            good, bad = _good(report)
+            self.store.publish(draft, good, begun, void=bad)
         told = sorted_.join(report, "doc_id", "left")
         return told.select("doc_id", F.when(F.col("failed_at").isNotNull(), "failed").otherwise(F.col("bucket")).alias("bucket"), "error")
 
@@ -186,8 +206,7 @@ class Library:
         )
         told = sinks.stored(told)
         if not dry:
-            shelf = F.floor(F.col("doc_id") / 1000).cast("long").alias("shelf")
-            self.store.publish({"audits": new.select("*", shelf)}, new.select("doc_id"), begun)
+            self.store.publish({"audits": new.select("*", _shelf()).repartition("shelf")}, new.select("doc_id"), begun)
         return told
 
     def audits(self, confidence: str | None = None, verdict: str | None = None) -> DataFrame:
@@ -293,7 +312,8 @@ class Library:
         # only the trees of the documents that were hit are walked
         near = self.table("nodes").join(F.broadcast(hits.select("doc_id").distinct()), "doc_id", "left_semi")
         crumbs = structure.breadcrumbs(near).select(F.col("node_id").alias("start_node_id"), "breadcrumb")
-        return hits.join(crumbs, "start_node_id", "left")
+        ranks = [F.desc("rerank_score")] if self.profile.reranker else []
+        return hits.join(crumbs, "start_node_id", "left").orderBy(*ranks, "distance", "start_node_id")  # a join keeps no order
 
     def build_lexical(self) -> None:
         """Index the words of the chunks as they are."""

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sinks import sliced
+from .sinks import dealt, sliced
 
 #: version, characters of a chunk, characters that two chunks share, what joins leaves
 CHUNK_VERSION, TARGET, OVERLAP, JOIN = 1, 1000, 100, "\n\n"
@@ -54,43 +55,54 @@ def split(text: str, target: int = TARGET, overlap: int = OVERLAP) -> list[tuple
     return out
 
 
-def plan_chunks(nodes: DataFrame) -> DataFrame:
+def plan_chunks(nodes: DataFrame, by: Column | None = None) -> DataFrame:
     """Chunks of all documents from their prose leaves.
 
     Leaves in a row with one parent are joined by a blank line and split; a chunk names the
     first and last leaf that it covers with the offsets in them, and the hash of its text.
+    Texts are shuffled once: a document's leaves reach one task in order, which numbers the
+    chunks as they come. by: as in structure.plan_tree.
     """
-    order = Window.partitionBy("doc_id").orderBy("toc_lo")
-    leaves = nodes.where("text is not null").select("doc_id", "node_id", "parent_id", "toc_lo", "text")
+    leaves, keys = dealt(nodes.where("text is not null").select("doc_id", "node_id", "parent_id", "toc_lo", "text"), by, "doc_id")
+    order = Window.partitionBy(keys).orderBy("toc_lo")
     runs = leaves.withColumn("new", F.coalesce((F.lag("parent_id").over(order) != F.col("parent_id")).cast("int"), F.lit(1)))
-    runs = runs.withColumn("run", F.sum("new").over(order))
-    groups = runs.groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("toc_lo", "node_id", "text"))).alias("leaf"))
-    groups = groups.select("doc_id", "run", F.col("leaf.node_id").alias("ids"), F.col("leaf.text").alias("texts"))
+    runs = runs.withColumn("run", F.sum("new").over(order)).sortWithinPartitions(*keys, "toc_lo").select("doc_id", "run", "node_id", "text")
     long, int_ = pa.int64(), pa.int32()
-    kinds = {"doc_id": long, "run": long, "part": int_, "text": pa.string(), "start_node_id": long, "start_char": int_, "end_node_id": long, "end_char": int_}
+    kinds = {"doc_id": long, "run": long, "part": int_, "text": pa.string(), "start_node_id": long, "start_char": int_, "end_node_id": long, "end_char": int_, "chunk_idx": int_}
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, RUNS):
-            rows = []
-            for doc, run, ids, texts in zip(*map(pa.Array.to_pylist, batch.columns), strict=True):
-                whole, starts, at = JOIN.join(texts), [], 0
-                for text in texts:
-                    starts.append(at)
-                    at += len(text) + len(JOIN)
-                for i, (a, b) in enumerate(split(whole)):
-                    first = bisect.bisect_right(starts, a) - 1
-                    last = bisect.bisect_right(starts, b - 1) - 1
-                    rows.append(
-                        (doc, run, i, whole[a:b], ids[first], min(a - starts[first], len(texts[first])), ids[last], min(b - starts[last], len(texts[last])))
-                    )
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds.values(), strict=True)], list(kinds))
-
-    out = groups.mapInArrow(
+        rows, held, last, number = [], 0, None, 0
+        leaves = (row for batch in sliced(batches, RUNS) for row in zip(*map(pa.Array.to_pylist, batch.columns), strict=True))
+        for (doc, run), own in itertools.groupby(leaves, lambda row: row[:2]):
+            _, _, ids, texts = zip(*own, strict=True)
+            whole, starts, at = JOIN.join(texts), [], 0
+            for text in texts:
+                starts.append(at)
+                at += len(text) + len(JOIN)
+            last, number = doc, number if doc == last else 0
+            for i, (a, b) in enumerate(split(whole)):
+                first = bisect.bisect_right(starts, a) - 1
+                end = bisect.bisect_right(starts, b - 1) - 1
+                rows.append(
+                    (doc, run, i, whole[a:b], ids[first], min(a - starts[first], len(texts[first])), ids[end], min(b - starts[end], len(texts[end])), number)
+                )
+                number += 1
+            held += 1
+            if held % RUNS == 0:
+                yield _batch(rows, kinds)
+                rows = []
+        yield _batch(rows, kinds)
+
+    out = runs.mapInArrow(
         of,
-        "doc_id long, run long, part int, text string, start_node_id long, start_char int, end_node_id long, end_char int",
+        "doc_id long, run long, part int, text string, start_node_id long, start_char int, end_node_id long, end_char int, chunk_idx int",
     )
-    order = Window.partitionBy("doc_id").orderBy("run", "part")
-    return out.withColumn("chunk_idx", F.row_number().over(order) - 1).withColumn("chunk_sha256", F.sha2("text", 256))
+    return out.withColumn("chunk_sha256", F.sha2("text", 256))
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:

@@ -43,10 +43,21 @@ def scratch(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df written to a shared folder and read back, so that what is read twice is worked out once."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, by: Column | None, key: str) -> tuple[DataFrame, list[str]]:
+    """rows, and what windows of key are partitioned by; where by, which key determines, is given, it alone deals out the rows."""
+    return (rows, [key]) if by is None else (rows.withColumn("_deal", by).repartition("_deal"), ["_deal", key])
+
+
+def among(rows: DataFrame, keys: DataFrame, key: str, most: int = 4_000_000) -> DataFrame:
+    """rows whose key is among keys; as far as these are few enough to be broadcast, the rows are not shuffled."""
+    ids = keys.select(key)
+    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, key, "left_semi")
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Each batch in slices of so many rows, without copies: what a task makes of a slice is all that it holds at once."""
     for batch in batches:

@@ -60,12 +60,13 @@ def _epub_file(content: bytes) -> dict:
 EXTRACTORS: dict[str, Extractor] = {"txt": _text_file, "html": _html_file, "epub": _epub_file}
 
 
-def extract(items: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
+def extract(items: DataFrame, extractors: dict[str, Extractor] | None = None, kept: Callable[[DataFrame], DataFrame] = sinks.stored) -> DataFrame:
     """items (doc_id, name, content) with adapter, source_sha256, outcome, error and what was found.
 
     outcome is extracted, unsupported (no extractor for the name), needs_ocr (nothing to read) or
     error, whatever the extractor raised; then error says why. Blocks of text files are lines, whose
-    headings blocks_of finds. Null and repeated ids go through row by row here.
+    headings blocks_of finds. Null and repeated ids go through row by row here. kept writes the
+    result down and gives it back.
     """
     known = EXTRACTORS if extractors is None else extractors
     fields = [f.split(" ")[0] for f in re.split(r", (?![^<]*>)", EXTRACTED)]
@@ -93,7 +94,7 @@ def extract(items: DataFrame, extractors: dict[str, Extractor] | None = None) ->
 
     rows = items.select(F.col("doc_id").cast("string").alias("key"), "name", files.detect(F.col("name")).alias("adapter"), F.sha2("content", 256).alias("source_sha256"), "content")
     found = rows.mapInPandas(of, f"key string, name string, adapter string, source_sha256 string, {EXTRACTED}")
-    return sinks.stored(found.select(F.col("key").cast("long").alias("doc_id"), *found.columns[1:]))
+    return kept(found.select(F.col("key").cast("long").alias("doc_id"), *found.columns[1:]))
 
 
 def blocks_of(extracted: DataFrame, level: Column) -> DataFrame:
@@ -128,6 +129,8 @@ def records(extracted: DataFrame, blocks: DataFrame, toc: DataFrame, overrides:
         rows = rows.join(over, "doc_id", "left")
         has = lambda f: F.coalesce(F.map_contains_key("_o", F.lit(f)), F.lit(False))
         rows = rows.withColumns({f: F.when(has(f), c("_o")[f]["value"]).otherwise(c(f)) for f in rework.BASE_FIELDS} | {"year_overridden": has("year")}).drop("_o")
+    # only a language is compared with the text
+    rows = rows.withColumn("body", F.when(F.trim("language") != "", c("body")))
     shape = structure.toc_stats(toc, blocks).select("doc_id", c("entries").alias("toc_entries"), "unanchored", "suspicious_flat", "heading_skew")
     return rows.join(shape, "doc_id")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_sha256, normalize, sentence_count
-from .sinks import stored
+from .sinks import dealt, stored
 
 #: ids of one document's nodes lie in [doc_id * SPACE + 1, doc_id * SPACE + SPACE - 1]
 SPACE = 100_000_000
@@ -75,7 +77,7 @@ def skeleton(toc: DataFrame) -> DataFrame:
     return out.select(*toc.columns, path.alias("path"))
 
 
-def _leaves(blocks: DataFrame, toc: DataFrame, orgs: DataFrame) -> DataFrame:
+def _leaves(blocks: DataFrame, toc: DataFrame, orgs: DataFrame, by: Column | None = None) -> DataFrame:
     """blocks that are leaves, with owner, its path, their number in the document (doc_order) and among their owner's leaves (ordinal), and the number of entries.
 
     Blocks and entries go through the windows of a document as one stream, so texts are shuffled once.
@@ -94,15 +96,16 @@ def _leaves(blocks: DataFrame, toc: DataFrame, orgs: DataFrame) -> DataFrame:
         )
     )
     # all windows are dealt by documents alone; entries without a place own nothing, and are counted
-    here = Window.partitionBy("doc_id").orderBy("at").rangeBetween(Window.currentRow, Window.currentRow)
-    so_far = Window.partitionBy("doc_id").orderBy("at", "is_block", "entry.entry_idx").rowsBetween(Window.unboundedPreceding, 0)
+    both, keys = dealt(both, by, "doc_id")
+    here = Window.partitionBy(keys).orderBy("at").rangeBetween(Window.currentRow, Window.currentRow)
+    so_far = Window.partitionBy(keys).orderBy("at", "is_block", "entry.entry_idx").rowsBetween(Window.unboundedPreceding, 0)
     labels = F.collect_set(F.when((F.col("is_block") == 0) & F.col("at").isNotNull(), F.col("_norm"))).over(here)
     repeated = F.coalesce(heading & F.array_contains(labels, F.col("_norm")), F.lit(False))
     told = both.withColumn("_leaf", ((F.col("is_block") == 1) & ~repeated).cast("int"))
     told = told.withColumn("_before", F.sum("_leaf").over(so_far))
     owner = F.when((F.col("is_block") == 0) & F.col("at").isNotNull(), F.struct("entry.entry_idx", "entry.path", "_before"))
     told = told.withColumn("_owner", F.last(owner, ignorenulls=True).over(so_far))
-    told = told.withColumn("entries", F.sum(1 - F.col("is_block")).over(Window.partitionBy("doc_id")))
+    told = told.withColumn("entries", F.sum(1 - F.col("is_block")).over(Window.partitionBy(keys)))
     return told.where("_leaf = 1").select(
         "doc_id", F.col("at").alias("block_idx"), *kept, F.col("_owner.entry_idx").alias("owner"),
         F.coalesce("_owner.path", F.array().cast("array<int>")).alias("path"), (F.col("_before") - 1).cast("int").alias("doc_order"),
@@ -110,20 +113,25 @@ def _leaves(blocks: DataFrame, toc: DataFrame, orgs: DataFrame) -> DataFrame:
     )
 
 
-def plan_tree(blocks: DataFrame, toc: DataFrame, titles: DataFrame, whole: bool = False) -> DataFrame:
+def plan_tree(
+    blocks: DataFrame, toc: DataFrame, titles: DataFrame, whole: bool = False, kept: Callable[[DataFrame], DataFrame] | None = None, by: Column | None = None
+) -> DataFrame:
     """Nodes of all documents: root, one for each contents entry, and leaves in reading order.
 
     A heading that repeats the label of an entry that starts there is no leaf. An
     organizing node spans its descendants (toc_lo, toc_hi); its subtree_sha256 is the hash
     of their normalized hashes, its own leaves before its children. titles: doc_id, title.
     whole says that all columns will be read: the leaves, which are the dear part and are
-    needed in two places, are then worked out once, into a table in a shared folder.
+    needed in two places, are then worked out once, into a table in a shared folder; or by kept,
+    which adds rows to a table of its own and gives back all that it holds, with their columns.
+    by deals out the texts by an expression that doc_id determines, so that a task has all of a
+    part of whoever keeps them.
     """
     orgs = skeleton(toc)
     base = F.col("doc_id") * SPACE + 1
     null = lambda kind: F.lit(None).cast(kind)
     text, norm = F.col("text"), F.sha2(normalize(F.col("text")), 256)
-    low = _leaves(blocks, toc, orgs).withColumn("norm_sha256", norm).select(
+    low = _leaves(blocks, toc, orgs, by).withColumn("norm_sha256", norm).select(
         "doc_id", null("int").alias("entry_idx"),
         (base + 1 + F.col("entries") + F.col("doc_order")).alias("node_id"),
         F.when(F.col("owner").isNull(), base).otherwise(base + 1 + F.col("owner")).alias("parent_id"),
@@ -134,15 +142,16 @@ def plan_tree(blocks: DataFrame, toc: DataFrame, titles: DataFrame, whole: bool
         "text", F.char_length(text).alias("char_count"), sentence_count(text).alias("sentence_count"),
         F.substring("norm_sha256", 1, 16).alias("stable_anchor"), F.sha2(text, 256).alias("text_sha256"), "norm_sha256", "path",
     )
+    names = [c for c in low.columns if c not in ("entry_idx", "path")]
     if whole:
-        low = stored(low)
+        low = stored(low) if kept is None else kept(low)
     # a row for each entry with leaves of its own; only these go up to their ancestors, not every leaf
     own = low.groupBy("doc_id", "path").agg(
         F.min("toc_lo").alias("toc_lo"),
         F.max("toc_hi").alias("toc_hi"),
         F.min("page_lo").alias("page_lo"),
         F.max("page_hi").alias("page_hi"),
-        F.array_join(F.array_sort(F.collect_list(F.struct("toc_lo", "norm_sha256")))["norm_sha256"], "").alias("hashes"),
+        F.array_sort(F.collect_list(F.struct("toc_lo", F.unhex("norm_sha256").alias("hash"))))["hash"].alias("hashes"),  # as bytes, half of their text
         F.count("*").alias("leaves"),
     )
     # the root has path [] and is an ancestor of every leaf
@@ -156,7 +165,8 @@ def plan_tree(blocks: DataFrame, toc: DataFrame, titles: DataFrame, whole: bool
         F.array_sort(F.collect_list(F.struct("path", "hashes"))).alias("below"),
         F.sum(F.when(mine, F.col("leaves")).otherwise(0)).alias("_leaves"),
     )
-    spans = spans.withColumn("subtree_sha256", F.sha2(F.array_join(F.col("below.hashes"), ""), 256)).drop("below")
+    below = F.transform(F.flatten("below.hashes"), lambda x: F.lower(F.hex(x)))
+    spans = spans.withColumn("subtree_sha256", F.sha2(F.array_join(below, ""), 256)).drop("below")
     root = titles.select(
         "doc_id", F.lit(-1).alias("entry_idx"), base.alias("node_id"), null("bigint").alias("parent_id"),
         F.lit(0).alias("depth"), F.lit("book").alias("node_type"), "title",
@@ -175,7 +185,8 @@ def plan_tree(blocks: DataFrame, toc: DataFrame, titles: DataFrame, whole: bool
     upper = upper.join(parents, ["doc_id", "parent_id"], "left")
     ordinal = F.when(F.col("parent_id").isNull(), 0).otherwise(F.coalesce("_first", F.lit(0)) + F.row_number().over(siblings) - 1).cast("int")
     upper = upper.withColumn("ordinal", ordinal).withColumns({c: null(low.schema[c].dataType) for c in ("text", "char_count", "sentence_count", "stable_anchor", "text_sha256", "norm_sha256")})
-    names = [c for c in low.columns if c not in ("entry_idx", "path")]
+    if kept is not None:
+        return kept(upper.select(names))
     return (stored(upper.select(names)) if whole else upper.select(names)).unionByName(low.select(names))
 
 

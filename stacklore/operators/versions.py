@@ -7,6 +7,10 @@ and a job that dies leaves files that no manifest names. A manifest says which l
 version has, so readers of an older version go on reading it. Whoever publishes says
 which version the work began from; if another was faster, the publish is refused.
 
+A draft is a layer that no manifest names yet: what a job works out once is written there,
+read by the rest of the job, and published where it lies. Keys that turn out to be no good
+are named with the layer, and nobody reads their rows.
+
 Reading takes each layer's rows but those whose keys a later layer replaces (an anti-join,
 on keys only). Compaction writes the rows of all layers as one.
 """
@@ -15,7 +19,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +35,36 @@ class Conflict(RuntimeError):
     """Another writer has published since."""
 
 
+@dataclass
+class Draft:
+    """Tables of a layer to come."""
+
+    store: Store
+    layer: str = field(default_factory=lambda: uuid.uuid4().hex)
+    schemas: dict[str, str] = field(default_factory=dict)
+
+    def put(self, name: str, rows: DataFrame, deal: bool = False, split: bool = True) -> DataFrame:
+        """Add rows to a table of the layer; all that the table holds then, with their columns.
+
+        deal brings the rows of a partition to one task, which else each task writes a file of; split
+        says that the table has partitions at all.
+        """
+        part = self.store.partition if split and self.store.partition in rows.columns else None
+        if part and deal:
+            rows = rows.repartition(part)
+        writer = rows.write.mode("append").option("compression", "zstd")
+        (writer.partitionBy(part) if part else writer).parquet(self.store._at(self.layer, name))
+        self.schemas[name] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        return self.store.spark.read.schema(self.schemas[name]).parquet(self.store._at(self.layer, name))
+
+    def done(self, gone: DataFrame | None, void: DataFrame | None = None) -> dict:
+        """What a manifest says of the layer."""
+        for name, keys in (("_gone", gone), ("_void", void)):
+            if keys is not None:
+                keys.select(self.store.key).where(F.col(self.store.key).isNotNull()).distinct().write.parquet(self.store._at(self.layer, name))
+        return {"id": self.layer, "tables": {n: {"schema": s} for n, s in self.schemas.items()}, "gone": gone is not None, "void": void is not None}
+
+
 @dataclass
 class Store:
     """Tables below path, all keyed by one column."""
@@ -70,24 +104,34 @@ class Store:
         parts, replaced = [], None
         for layer in reversed(layers):
             rows = self.spark.read.schema(layer["tables"][name]["schema"]).parquet(self._at(layer["id"], name))
-            parts.append(rows if replaced is None else rows.join(replaced, self.key, "left_anti"))
+            void = self.spark.read.parquet(self._at(layer["id"], "_void")) if layer.get("void") else None
+            if void is not None:
+                rows = rows.where(F.col(self.key).isNotNull())
+            hidden = replaced if void is None else void if replaced is None else replaced.unionByName(void)
+            parts.append(rows if hidden is None else rows.join(hidden, self.key, "left_anti"))
             if layer["gone"]:
                 gone = self.spark.read.parquet(self._at(layer["id"], "_gone"))
                 replaced = gone if replaced is None else replaced.unionByName(gone)
         columns = parts[0].columns
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*columns)
 
-    def publish(self, tables: dict[str, DataFrame], gone: DataFrame | None = None, expected: int | None = None, stamps: dict | None = None) -> int:
+    def draft(self) -> Draft:
+        return Draft(self)
+
+    def publish(
+        self, tables: dict[str, DataFrame] | Draft, gone: DataFrame | None = None, expected: int | None = None, stamps: dict | None = None, void: DataFrame | None = None
+    ) -> int:
         """Put rows into tables, in place of all older rows there of the keys in gone; the new version's number.
 
         gone holds the key column; null keys replace nothing. Without it rows are added.
         expected is the version that the work began from (now, if not given). Tables that are not
         named stay as they are. The same rows published again for the same keys change nothing
-        that a reader sees.
+        that a reader sees. tables may be a draft; then void holds keys that are no good: its rows of
+        these, and of null keys, are not read.
         """
         begun = self.version() if expected is None else expected
         before = self.manifest(begun)
-        layer = self._write(tables, gone)
+        layer = tables.done(gone, void) if isinstance(tables, Draft) else self._write(tables, gone)
         layers = [*before["layers"], layer]
         self._name(begun + 1, {"version": begun + 1, "layers": layers, "stamps": before["stamps"] | (stamps or {})})
         if len(layers) > MOST_LAYERS:
@@ -126,16 +170,10 @@ class Store:
         return f"{self.path}/layers/{layer}/{name}"
 
     def _write(self, tables: dict[str, DataFrame], gone: DataFrame | None) -> dict:
-        layer = uuid.uuid4().hex
+        draft = self.draft()
         for name, rows in tables.items():
-            writer = rows.write
-            if self.partition in rows.columns:
-                writer = writer.partitionBy(self.partition)
-            writer.parquet(self._at(layer, name))
-        if gone is not None:
-            gone.select(self.key).where(F.col(self.key).isNotNull()).distinct().write.parquet(self._at(layer, "_gone"))
-        kinds = {name: {"schema": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)} for name, rows in tables.items()}
-        return {"id": layer, "tables": kinds, "gone": gone is not None}
+            draft.put(name, rows)
+        return draft.done(gone)
 
     def _name(self, version: int, manifest: dict) -> int:
         """Let the manifest appear under its number, unless there is one already."""

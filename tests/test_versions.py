@@ -118,3 +118,45 @@ def test_search_by_an_index(spark, tmp_path):
     assert found[0].doc_id == 99 and 7 not in {r.doc_id for r in found}
     assert {r.doc_id for r in library.search("number thing8", 3, exclude=(99, 8)).collect()}.isdisjoint({99, 8})
     assert [r.doc_id for r in library.search("number", 1, doc_id=12).collect()] == [12]
+
+
+def test_a_draft_is_published_where_it_lies(spark, store):
+    store.publish({"nodes": rows(spark, (1, "old"), (2, "old"))})
+    draft = store.draft()
+    assert draft.put("nodes", rows(spark, (1, "new"))).count() == 1
+    assert sorted(r[0] for r in draft.put("nodes", rows(spark, (2, "no good"), (3, "c")).unionByName(spark.createDataFrame([(None, 0, "lost")], KIND))).where("doc_id > 0").select("doc_id").collect()) == [1, 2, 3]
+    assert store.read("nodes").count() == 2  # nobody sees it yet
+    ids = lambda *i: spark.createDataFrame([(x,) for x in i], "doc_id long")
+    store.publish(draft, ids(1, 3), void=ids(2))
+    assert seen(store, "nodes") == [(1, "new"), (2, "old"), (3, "c")]
+    store.publish({"nodes": rows(spark, (3, "d"))}, ids(3))
+    assert seen(store, "nodes") == [(1, "new"), (2, "old"), (3, "d")]
+
+
+def test_an_ingest_writes_few_files_for_a_shelf(spark, tmp_path):
+    """Each task wrote a file of each shelf that it had a document of, so files grew with tasks times shelves."""
+    import glob
+
+    library = Library(spark, str(tmp_path / "lib"))
+    docs = spark.range(0, 8000, 40).selectExpr("id as doc_id", "concat('# Head\nwords of ', id) as text", "concat('Book ', id) as title")
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        library.ingest(docs, F.when(F.col("line").rlike("^# "), 1))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    count = lambda name: len(glob.glob(f"{library.path}/layers/*/{name}/shelf=*/*.parquet"))
+    assert count("chunks") <= 8 * 4 and count("nodes") <= 8 * 5 and count("stamps") == 8
+    assert library.table("nodes").count() == 600 and library.table("chunks").count() == 200
+
+
+def test_chunks_are_numbered_without_another_shuffle(spark):
+    from stacklore.operators import chunks
+
+    nodes = spark.createDataFrame([(1, 10 + i, i // 2, i, "word " * 150 + str(i)) for i in range(8)] + [(2, 50, 1, 0, "other")], "doc_id long, node_id long, parent_id long, toc_lo int, text string")
+    found = chunks.plan_chunks(nodes)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    own = found.where("doc_id = 1").orderBy("run", "part").collect()
+    assert len(own) == 8 and [r.chunk_idx for r in own] == list(range(8)) and found.where("doc_id = 2").first().chunk_idx == 0
