@@ -21,20 +21,22 @@ PAGE_MARK = r"<!--\s*page\s+(\d+)(?:\s+\(sheet\s+(\d+)\))?\s*-->"
 def split_pages(source: DataFrame) -> DataFrame:
     """source (book, text) at page marks; a text without any is page 1. Front matter goes."""
     body = F.regexp_replace("text", r"(?s)^---\n.*?\n---\n", "")
-    marks = F.regexp_extract_all(body, F.lit(PAGE_MARK), F.lit(1))
-    sheets = F.regexp_extract_all(body, F.lit(PAGE_MARK), F.lit(2))
-    parts = F.split(body, PAGE_MARK, -1)
-    n = F.size(marks)
-    pages = F.when(n == 0, F.array(F.struct(F.lit(1).alias("page"), F.lit(1).alias("sheet"), body.alias("text")))).otherwise(
-        F.transform(
-            marks,
-            lambda m, i: F.struct(
-                m.cast("int").alias("page"),
-                F.coalesce(F.nullif(F.get(sheets, i), F.lit("")), m).cast("int").alias("sheet"),
-                F.regexp_replace(F.get(parts, i + 1), r"^\s+|\s+$", "").alias("text"),
-            ),
-        )
+    # one list of all three: what a lambda names beside its arguments is worked out again for each element
+    found = F.arrays_zip(
+        F.regexp_extract_all(body, F.lit(PAGE_MARK), F.lit(1)).alias("page"),
+        F.regexp_extract_all(body, F.lit(PAGE_MARK), F.lit(2)).alias("sheet"),
+        F.filter(F.split(body, PAGE_MARK, -1), lambda x, i: i > 0).alias("text"),
     )
+    each = F.transform(
+        found,
+        lambda m: F.struct(
+            m["page"].cast("int").alias("page"),
+            F.coalesce(F.nullif(m["sheet"], F.lit("")), m["page"]).cast("int").alias("sheet"),
+            F.regexp_replace(m["text"], r"^\s+|\s+$", "").alias("text"),
+        ),
+    )
+    whole = F.array(F.struct(F.lit(1).alias("page"), F.lit(1).alias("sheet"), body.alias("text")))
+    pages = F.when(F.size(each) == 0, whole).otherwise(each)
     return source.select("book", F.posexplode(pages).alias("seq", "p")).select("book", "seq", "p.page", "p.sheet", "p.text")
 
 

@@ -319,3 +319,15 @@ def test_words_are_hashed_in_slices(spark, monkeypatch):
     whole = sorted(tuple(map(str, r)) for r in search.hash_vectors(rows, "t", 8).collect())
     monkeypatch.setattr(search, "HASHED", 3)
     assert len(whole) == 20 and sorted(tuple(map(str, r)) for r in search.hash_vectors(rows, "t", 8).collect()) == whole
+
+
+def test_pages_of_a_long_book_are_split_once(spark):
+    """The parts of a text were made again for each of its pages, in time that grew with their square."""
+    import time
+
+    text = "".join(f"<!-- page {i} -->\nWORD {i}\n" for i in range(1, 8001))
+    began = time.time()
+    found = distill.split_pages(spark.createDataFrame([("b", text), ("c", "plain"), ("d", None)], "book string, text string")).collect()
+    assert time.time() - began < 10 and len([r for r in found if r.book == "b"]) == 8000
+    assert [tuple(r) for r in found if r.book == "b" and r.seq in (0, 7999)] == [("b", 0, 1, 1, "WORD 1"), ("b", 7999, 8000, 8000, "WORD 8000")]
+    assert [tuple(r) for r in found if r.book == "c"] == [("c", 0, 1, 1, "plain")]
