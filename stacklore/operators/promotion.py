@@ -92,9 +92,10 @@ def numbered_lines(blocks: DataFrame) -> DataFrame:
     for prefix in NO_HEADING:
         no = no | F.startswith(ascii_lower(text), F.lit(prefix)) | F.startswith(ascii_lower(words), F.lit(prefix))
     sized = blocks.join(usual_fonts(blocks), ["doc_id", "page"], "left")
-    rows = sized.where((F.col("kind") == "body") & (F.col("lines") == 1) & F.char_length(text).between(2, 80) & ~no).withColumn("series", _series(text))
+    rows = sized.where((F.col("kind") == "body") & (F.col("lines") == 1) & F.char_length(text).between(2, 80)).withColumn("series", _series(text))
+    rows = rows.where(F.col("series").isNotNull()).where(~no)  # few lines have a number, and only these are looked at for all beginnings
     stands_out = F.coalesce(F.col("bold"), F.lit(False)) | F.coalesce((F.col("usual") > 0.1) & (F.col("font_size") > 1.1 * F.col("usual")), F.lit(False))
-    return rows.where(F.col("series").isNotNull() & ((F.col("series") != "arabic") | stands_out)).select("doc_id", "block_idx", "series", _number(text).alias("number"))
+    return rows.where((F.col("series") != "arabic") | stands_out).select("doc_id", "block_idx", "series", _number(text).alias("number"))
 
 
 def _number(text: Column) -> Column:

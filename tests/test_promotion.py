@@ -80,3 +80,15 @@ def test_outlines_as_a_loop_finds_them(spark, seed):
     found = {x.block_idx: x.level for x in promotion.outline_headings(b, o).collect()}
     assert found == plain_outline([(p, k, t.strip(), s, bo, li) for p, k, t, s, bo, li in blocks], outline)
     assert promotion.promote(b, o).where(F.col("kind") == "heading").count() >= len(found)
+
+
+def test_promotion_by_outline_shuffles_no_texts(spark, tmp_path, monkeypatch):
+    """What the query stored had the texts of all blocks beside the three columns that it counts."""
+    from stacklore.operators import sinks
+    from stacklore.plans import documents
+
+    spark.createDataFrame([(1, "A\nsome longer line of words that is no heading\nb\nC"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, store = [], sinks.stored
+    monkeypatch.setattr(sinks, "stored", lambda df: seen.append(df.columns) or store(df))
+    assert [(r.doc_id, r.headings, r.source) for r in documents.outline_promotion(spark, str(tmp_path)).collect()] == [(1, 2, "outline")]
+    assert seen[-1] == ["doc_id", "by", "level"]
