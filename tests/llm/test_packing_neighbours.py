@@ -69,3 +69,16 @@ def test_few_long_documents_ask_with_all_their_terms():
     documents = [np.r_[common, np.uint32(500), np.uint32(501)], common, np.r_[np.uint32(500), np.arange(700, 760, dtype=np.uint32)], common + np.uint32(1000), common]
     found = packing.Index(documents).neighbours(0, np.arange(5) == 0)
     assert found.tolist() == [1, 4, 2]
+
+
+def test_heaviest_terms_without_sorting_all():
+    rng = np.random.default_rng(3)
+    df = np.r_[0, 1, rng.integers(1, 40, 60)]
+    rarity = np.where(df > 1, packing.idf(40, df), -1.0)
+    for n in (0, 1, 2, 5, 300):
+        ids = rng.integers(1, 62, n).astype("<u2")
+        term, tf = np.unique(ids, return_counts=True)
+        assert [x.tolist() for x in packing.terms_of(ids)] == [term.tolist(), tf.tolist()]
+        term, tf = term[df[term] > 1].astype(int), tf[df[term] > 1]
+        weight = packing.idf(40, df[term]) * tf / (tf + packing.K1 * (1 - packing.B + packing.B * n / 9.0))
+        assert packing.two_heaviest(ids, rarity, 9.0) == [*term[np.argsort(-weight, kind="stable")[:2]].tolist(), -1, -1][:2]
