@@ -1,6 +1,7 @@
 """Operators 1, 2, 3, 4, 7 and 10: held-out accuracy, brute force and round trips."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -232,6 +233,18 @@ def test_trie_counts_are_each_words_best_path(spark, odd, none, documents):
     assert token_counts.count_tokens(none, path).count() == 0
 
 
+def test_ids_need_no_looking_ahead():
+    from tokenizers import Tokenizer
+
+    reference, rnd = Tokenizer.from_file(tokens.paths()[0]), random.Random(8)
+    signs = [*tokens.SPACE, *"\x1c\x1f\u200b\u180e'ab1é漢.²", " ", " ", "'s", "\r\n"]
+    for _ in range(4000):
+        text = "".join(rnd.choices(signs, k=rnd.randrange(14)))
+        assert "".join(tokens.parts(text)) == text
+        assert tokens.encode(text).tolist() == reference.encode(text, add_special_tokens=False).ids, repr(text)
+    assert tokens.AHEAD not in tokens._loaded(*tokens.paths())._pat_str
+
+
 def test_ids_are_the_tokenizers():
     from tokenizers import Tokenizer
 
