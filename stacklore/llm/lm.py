@@ -225,12 +225,17 @@ def score(
             at += weights[k].size
     model = spark.sparkContext.broadcast((weights, logits, vocabulary))
 
+    def network(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = attention.Scorer(*model.value)
+        for batch in batches:
+            scores = scorer.score([np.frombuffer(x, np.uint16) for x in batch["ids"]])
+            yield batch[["doc_id", "block", "words"]].assign(score=scores)
+
     def final(key: tuple, part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         counts = np.concatenate([np.frombuffer(x, np.int64) for x in known.sort_values("bucket")["counts"]])
         logs, heard = np.log10(counts + 1.0), counts > 0
         spelled = [np.frombuffer(x, np.uint32) for x in part["words"]]
         sizes = np.array([len(x) for x in spelled], np.int64)
-        scorer = attention.Scorer(*model.value)
         return pd.DataFrame(
             {
                 "doc_id": part["doc_id"],
@@ -238,12 +243,14 @@ def score(
                 "n_known": [int(heard[x].sum()) for x in spelled],
                 "train_tokens": train_tokens,
                 "base_score": np.array([logs[x].sum() for x in spelled]) - sizes * np.log10(train_tokens + distinct + 1),
-                "score": scorer.score([np.frombuffer(x, np.uint16) for x in part["ids"]]),
+                "score": part["score"],
             }
         )
 
+    # ids are scored where they were written; only words meet their counts
     scored = (
         texts.drop("learn")
+        .mapInPandas(network, "doc_id string, block long, words binary, score double")
         .groupBy("block")
         .cogroup(replies.select("block", "bucket", "counts").groupBy("block"))
         .applyInPandas(

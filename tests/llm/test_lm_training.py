@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stacklore.llm import attention, lm
+from stacklore.llm.common import outside_fold
 
 
 def test_texts_outside_any_share_are_learned_from(spark):
@@ -87,3 +88,10 @@ def test_null_and_large_ids_come_back_as_they_were(spark):
     docs = spark.createDataFrame([(None, "a b"), (2**60 + 1, "b"), (3, None)], "doc_id long, text string")
     got = lm.score(docs, F.col("doc_id").isNotNull(), sample=2).collect()
     assert {(r.doc_id, r.n_tokens, r.train_tokens) for r in got} == {(None, 3, 3), (2**60 + 1, 2, 3), (3, 1, 3)}
+
+
+def test_ids_are_scored_before_words_are_moved(spark, odd):
+    scored = lm.score(odd, outside_fold("doc_id", 7, 2))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas network" in plan.split("FlatMapCoGroupsInPandas")[1]
+    assert scored.count() == odd.count()
