@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +75,28 @@ def test_many_queries_make_no_rows_of_pairs(spark, docs, monkeypatch, clash):
     assert all(abs(g[3] - w[3]) < 1e-8 for g, w in zip(got, want, strict=True))
 
 
+def test_many_queries_go_as_few_rows():
+    """Queries of a group are a row for so many words, in which each word is there once."""
+    r = random.Random(3)
+    asked = {q: sorted(r.sample(range(-50, 50), r.randrange(1, 20))) for q in range(300)}
+    rows = [(q, w, [n / 7 for n in w], q % 2) for q, w in asked.items()]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int32()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 40], strict=True), kinds, strict=True)], ["query_id", "numbers", "idfs", "group"]) for i in range(0, 300, 40)]
+    for most in (1, 1000, 1_000_000):
+        packed = pa.Table.from_batches(lexical._asked(iter(batches), most)).to_pylist()
+        assert len(packed) <= 2 * min(len(batches), 1 + sum(map(len, asked.values())) // most)
+        got = {}
+        for row in packed:
+            number, idf, place = (np.frombuffer(row[c], k) for c, k in (("numbers", np.int64), ("idfs", np.float64), ("places", np.int32)))
+            assert len(set(number)) == len(number) and np.array_equal(idf, number / 7)
+            ends = np.cumsum(np.frombuffer(row["lengths"], np.int32))
+            for q, own in zip(np.frombuffer(row["queries"], np.int64), np.split(number[place], ends[:-1]), strict=True):
+                assert q % 2 == row["group"]
+                got[int(q)] = own.tolist()
+        assert got == asked
+    assert list(lexical._asked(iter([]))) == []
+
+
 def test_blocks_are_skipped(spark, docs, monkeypatch):
     monkeypatch.setattr(lexical, "BLOCK", 16)
     index = lexical.build(spark.createDataFrame(docs, "doc_id long, text string"))
